@@ -106,3 +106,114 @@ def signal_matrix(spark, sf_dir):
            .groupBy("topic_id").pivot("year", years).agg(F.max("code")))
     return piv.select("topic_id", *[F.coalesce(F.col(str(y)), F.lit(0)).cast("int").alias(f"y{y}")
                                     for y in years])
+
+
+# --------------------------------------------------------------------------- W4 / K5
+
+@register("yearly_peak_growth", with_ctes(TOPIC_ORDERS_CTE) + """,
+c AS (SELECT topic, year, count(*) AS n FROM topic_orders WHERE topic <> -1 GROUP BY 1, 2),
+g AS (SELECT topic, year, n, (n - lag(n) OVER (PARTITION BY topic ORDER BY year)) * 100.0
+                             / lag(n) OVER (PARTITION BY topic ORDER BY year) AS growth FROM c),
+t AS (SELECT topic, sum(n) AS total FROM c GROUP BY topic),
+p AS (SELECT topic, max(growth) AS peak_growth, first(year ORDER BY growth DESC NULLS LAST, year) AS peak_year
+      FROM g GROUP BY topic HAVING count(growth) > 0)
+SELECT p.topic, round(p.peak_growth, 6) AS peak_growth, CAST(p.peak_year AS INTEGER) AS peak_year,
+       CAST(t.total AS BIGINT) AS total,
+       p.topic IN (SELECT topic FROM t ORDER BY total DESC, topic LIMIT 5) AS top5_size
+FROM p JOIN t ON t.topic = p.topic""")
+def yearly_peak_growth(spark, sf_dir):
+    """W4 + K5: growth % over present years per topic, its peak and first peak
+    year (topics seen in one year only are dropped); 5 largest topics."""
+    from pyspark.sql import Window
+    c = trend.sparse_counts(topic_orders(spark, sf_dir)).withColumnRenamed("n_kt", "n")
+    w = Window.partitionBy("topic").orderBy("year")
+    g = c.withColumn("growth", F.try_divide((F.col("n") - F.lag("n").over(w)) * 100.0, F.lag("n").over(w)))
+    p = (g.groupBy("topic").agg(F.max("growth").alias("peak_growth"),
+                                F.max_by("year", F.struct(F.col("growth"), -F.col("year"))).alias("peak_year"),
+                                F.count("growth").alias("_ng"))
+         .where(F.col("_ng") > 0))
+    t = c.groupBy("topic").agg(F.sum("n").alias("total"))
+    top = t.orderBy(F.desc("total"), "topic").limit(5).select("topic", F.lit(True).alias("_t"))
+    return (p.join(t, "topic").join(F.broadcast(top), "topic", "left")
+            .select("topic", F.round("peak_growth", 6).alias("peak_growth"),
+                    F.col("peak_year").cast("int").alias("peak_year"), F.col("total").cast("long").alias("total"),
+                    F.coalesce("_t", F.lit(False)).alias("top5_size")))
+
+
+# --------------------------------------------------------------------------- W11 / W12
+
+NEWS_MONTHS = 252  # 21 years: the orders calendar moved onto the news calendar
+SPIKE_THETA = 0.12
+
+HYBRID_SQL = with_ctes(TOPIC_ORDERS_CTE) + f""",
+r AS (SELECT topic, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q FROM topic_orders WHERE topic <> -1),
+wr AS (SELECT topic, CAST(q + INTERVAL {NEWS_MONTHS} MONTH AS DATE) AS ws FROM r
+       UNION ALL SELECT topic, CAST(q - INTERVAL 3 MONTH + INTERVAL {NEWS_MONTHS} MONTH AS DATE) FROM r),
+c AS (SELECT ws, topic, count(*) AS n FROM wr GROUP BY 1, 2),
+b AS (SELECT min(ws) AS w0, max(ws) AS w1 FROM c),
+h AS (SELECT c.ws, c.topic, c.n, c.n * 1.0 / sum(c.n) OVER (PARTITION BY c.ws) AS share,
+             coalesce(ln(1 + (c.ws - b.w0)) / nullif(ln(1 + (b.w1 - b.w0)), 0), 0) AS weight
+      FROM c, b)
+"""
+
+
+def hybrid_table(spark, sf_dir):
+    """Each row falls in the two 6-month windows (3-month step) whose
+    starts are its quarter and the quarter before; counts per (window, topic)
+    are a single aggregate, shares and weights run on that small table."""
+    o = topic_orders(spark, sf_dir).where(F.col("topic") != -1)
+    q = F.date_trunc("quarter", F.col("o_orderdate").cast("date")).cast("date")
+    r = o.select("topic", F.explode(F.array(F.add_months(q, NEWS_MONTHS), F.add_months(q, NEWS_MONTHS - 3)))
+                 .alias("ws"))
+    c = r.groupBy("ws", "topic").agg(F.count(F.lit(1)).alias("n"))
+    b = c.agg(F.min("ws").alias("w0"), F.max("ws").alias("w1"))
+    from pyspark.sql import Window
+    h = c.crossJoin(F.broadcast(b)).select(
+        "ws", "topic", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("ws"))).alias("share"),
+        F.coalesce(F.try_divide(F.log1p(F.datediff("ws", "w0")), F.log1p(F.datediff("w1", "w0"))),
+                   F.lit(0.0)).alias("weight"))
+    return h.withColumn("v_hyb", F.col("share") * F.col("weight"))
+
+
+@register("hybrid_velocity", HYBRID_SQL + """
+SELECT strftime(ws, '%Y-%m-%d') AS window_start, topic, CAST(n AS BIGINT) AS n, round(share, 6) AS share,
+       round(weight, 6) AS weight, round(share * weight, 6) AS v_hyb FROM h""")
+def hybrid_velocity(spark, sf_dir):
+    h = hybrid_table(spark, sf_dir)
+    return h.select(F.date_format("ws", "yyyy-MM-dd").alias("window_start"), "topic",
+                    F.col("n").cast("long").alias("n"), F.round("share", 6).alias("share"),
+                    F.round("weight", 6).alias("weight"), F.round("v_hyb", 6).alias("v_hyb"))
+
+
+def _spike_sql():
+    from trendspark.plans.q_events import parsed_sql, timeline_sql
+    return HYBRID_SQL + parsed_sql(timeline_sql(True)) + f""",
+sp AS (SELECT * FROM h WHERE share * weight > {SPIKE_THETA}),
+cor AS (SELECT DISTINCT sp.ws, sp.topic FROM sp JOIN parsed p ON p.topic_id = sp.topic
+          AND CAST(try_strptime(substr(p.date, 1, 8), '%Y%m%d') AS DATE) >= sp.ws
+          AND CAST(try_strptime(substr(p.date, 1, 8), '%Y%m%d') AS DATE) < CAST(sp.ws + INTERVAL 6 MONTH AS DATE))
+SELECT strftime(sp.ws, '%Y-%m-%d') AS window_start, sp.topic, round(sp.share * sp.weight, 6) AS v_hyb,
+       cor.ws IS NOT NULL AS corroborated, CASE WHEN cor.ws IS NOT NULL THEN 'EVENT' ELSE 'NOISE' END AS status
+FROM sp LEFT JOIN cor ON cor.ws = sp.ws AND cor.topic = sp.topic"""
+
+
+def spike_accept(spark, sf_dir):
+    """Windows with V_hyb > theta; kept as EVENT only when a timeline
+    record of the topic lies inside the window (equi-join on topic + range
+    filter, then a left-semi style flag), else flagged NOISE."""
+    from trendspark.operators import events as E
+    from trendspark.plans.q_events import timeline_df
+    h = hybrid_table(spark, sf_dir).where(F.col("v_hyb") > SPIKE_THETA)
+    t = E.parse_timeline(timeline_df(spark, True)).select(
+        F.col("topic_id").alias("topic"), F.try_to_date(F.substring("date", 1, 8), "yyyyMMdd").alias("d"))
+    cor = (h.select("ws", "topic").join(F.broadcast(t), "topic")
+           .where((F.col("d") >= F.col("ws")) & (F.col("d") < F.add_months("ws", 6)))
+           .select("ws", "topic").distinct().withColumn("_c", F.lit(True)))
+    j = h.join(cor, ["ws", "topic"], "left")
+    ok = F.coalesce("_c", F.lit(False))
+    return j.select(F.date_format("ws", "yyyy-MM-dd").alias("window_start"), "topic",
+                    F.round("v_hyb", 6).alias("v_hyb"), ok.alias("corroborated"),
+                    F.when(ok, "EVENT").otherwise("NOISE").alias("status"))
+
+
+register("spike_accept", _spike_sql())(spike_accept)
