@@ -27,7 +27,9 @@ def doc_terms(df: DataFrame, doc_col: str, text_col: str, stops=None, bigrams: b
         d = textops.vectorizer_terms(d, "_clean", "_terms", stops)
     else:
         d = textops.remove_stops(d.withColumn("_wt", T.word_tokens("_clean")), "_wt", "_terms", stops)
-    return d.select("doc_id", F.explode("_terms").alias("term"))
+    # explode_outer + null filter: a plain explode lets Catalyst infer a
+    # size(terms) > 0 filter below the scan, running the tokenizer twice
+    return d.select("doc_id", F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
