@@ -37,4 +37,4 @@ def load_all() -> None:
 
 
 MODULES = ("q_trend", "q_text", "q_profile", "q_sampling", "q_bow", "q_topics", "q_vectors",
-           "q_events", "q_predict", "q_ml", "q_stream")
+           "q_events", "q_quality", "q_predict", "q_ml", "q_stream")
