@@ -20,10 +20,17 @@ def norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _per_row(v, s) -> Column:
+    """A per-row scalar as an array aligned with ``v``: evaluated once per
+    row (a scalar referenced inside a lambda is re-evaluated per element)."""
+    return F.array_repeat(s, F.size(_c(v)))
+
+
 def unit(v) -> Column:
-    """V / ||v||; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n == 0, as_double(v)).otherwise(F.transform(_c(v), lambda x: x.cast("double") / n))
+    """V / ||v||; a zero vector stays zero. The norm is computed once per
+    row and zipped in."""
+    vd = as_double(v)
+    return F.zip_with(vd, _per_row(vd, norm(vd)), lambda x, n: F.when(n == 0, x).otherwise(x / n))
 
 
 def dot(a, b) -> Column:
@@ -45,7 +52,7 @@ def sub(a, b) -> Column:
 
 
 def scale(a, s) -> Column:
-    return F.transform(_c(a), lambda x: x * s)
+    return F.zip_with(_c(a), _per_row(a, s), lambda x, k: x * k)
 
 
 def md5_uniform(*parts) -> Column:

@@ -54,13 +54,20 @@ def _chunks(queries: DataFrame, qid: str, max_rows: int):
 
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid",
                   qv: str = "qv", cv: str = "cv", exclude_self: bool = False,
-                  max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                  max_broadcast: int = MAX_BROADCAST_QUERIES, group: str | None = None) -> DataFrame:
     """Exact top-k by dot product (cosine on unit vectors): (qid, rank, cid, sim).
-    Ties: lower corpus id first."""
+    Ties: lower corpus id first. With ``group`` (a column on both sides) only
+    pairs of the same group are compared (an equi-join on the group)."""
     out = None
-    for chunk in _chunks(queries.select(qid, qv), qid, max_broadcast):
-        j = corpus.select(cid, cv).join(F.broadcast(chunk), F.lit(True) if not exclude_self
-                                        else F.col(cid) != F.col(qid))
+    qcols = [qid, qv] + ([F.col(group).alias("_qg")] if group else [])
+    ccols = [cid, cv] + ([F.col(group).alias("_cg")] if group else [])
+    for chunk in _chunks(queries.select(*qcols), qid, max_broadcast):
+        cond = F.lit(True)
+        if group:
+            cond = F.col("_qg") == F.col("_cg")
+        if exclude_self:
+            cond = cond & (F.col(cid) != F.col(qid))
+        j = corpus.select(*ccols).join(F.broadcast(chunk), cond)
         s = j.select(qid, cid, V.dot(qv, cv).alias("sim"))
         w = Window.partitionBy(qid).orderBy(F.desc("sim"), F.col(cid))
         r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -132,6 +139,17 @@ def mutual_reachability(knn: DataFrame, min_samples: int = 10) -> DataFrame:
                     F.greatest("core_src", "core_dst", "distance").alias("mreach"))
 
 
+def mutual_reachability_grouped(knn: DataFrame, min_samples: int = 10, keys=()) -> DataFrame:
+    """As ``mutual_reachability`` with extra key columns (independent graphs)."""
+    keys = list(keys)
+    core = knn.where(F.col("rank") == min_samples - 1).select(*keys, F.col("src").alias("node"),
+                                                               F.col("distance").alias("core"))
+    e = (knn.join(core.withColumnRenamed("node", "src").withColumnRenamed("core", "core_src"), keys + ["src"])
+         .join(core.withColumnRenamed("node", "dst").withColumnRenamed("core", "core_dst"), keys + ["dst"]))
+    return e.select(*keys, "src", "dst", "distance", "core_src", "core_dst",
+                    F.greatest("core_src", "core_dst", "distance").alias("mreach"))
+
+
 def participation_ratio(df: DataFrame, vec: str) -> DataFrame:
     """(Σλ)² / Σλ² of the centred data = trace(C)² / ||C||_F², from the
     Gram matrix. Each task folds its rows into one d x d partial sum (numpy);
