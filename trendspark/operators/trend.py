@@ -30,17 +30,21 @@ def sparse_counts(df: DataFrame, topic: str = "topic", period: str = "year",
 def dense_grid(df: DataFrame, topic: str = "topic", period: str = "year") -> DataFrame:
     """Every non-outlier topic x every observed period, zeros kept.
 
-    The grid comes from one aggregate row holding the distinct topics and
-    periods (both dimension-sized), exploded twice; the counts are one
-    grouped scan joined back on (topic, period).
-    """
-    counts = sparse_counts(df, topic, period)
-    dims = df.agg(
+    One grouped scan gives counts per (topic, period) including the outlier
+    topic (so periods seen only in outliers still exist); the distinct topics
+    and periods come from that small aggregate (one row of two sets, both
+    dimension-sized), exploded twice, and the counts are joined back. The
+    aggregate (K x P rows, independent of the row count) feeds several
+    branches (dimensions, counts, quartiles), so it is written once as a table
+    in the checkpoint folder: the raw rows are scanned and shuffled once."""
+    from trendspark.session import cut_lineage
+    counts = cut_lineage(df.groupBy(topic, period).agg(F.count(F.lit(1)).cast("int").alias("n_kt")), "counts")
+    dims = counts.agg(
         F.array_sort(F.collect_set(F.when(F.col(topic) != -1, F.col(topic)))).alias("_topics"),
         F.array_sort(F.collect_set(F.col(period))).alias("_periods"))
     grid = (dims.select(F.explode("_topics").alias(topic), "_periods")
             .select(topic, F.explode("_periods").alias(period)))
-    return (grid.join(counts, [topic, period], "left")
+    return (grid.join(counts.where(F.col(topic) != -1), [topic, period], "left")
             .select(topic, period, F.coalesce("n_kt", F.lit(0)).cast("int").alias("n_kt")))
 
 
@@ -107,7 +111,8 @@ def signal_table(df: DataFrame, topic: str = "topic", period: str = "year",
     dimension; missing labels default to ``Topic {id}``.
     """
     grid = dense_grid(df, topic, period)
-    sig = add_gap_velocity(grid, topic, period).join(nonzero_periods(grid, topic), topic)
+    nz = F.count_if(F.col("n_kt") > 0).over(Window.partitionBy(topic)).cast("int")
+    sig = add_gap_velocity(grid, topic, period).withColumn("nonzero_years", nz)
     q = popularity_quartiles(sig)
     sig = sig.crossJoin(F.broadcast(q))  # one-row scalar side
     sig = sig.withColumn("signal_class", classify(F.col("popularity"), F.col("velocity"),
