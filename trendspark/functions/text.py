@@ -92,11 +92,12 @@ def title_case_words(c) -> Column:
     return F.initcap(_c(c))
 
 
-def shorten(c, n: int, ellipsis: str = "...") -> Column:
-    """Cut to n-len(ellipsis) characters plus the ellipsis when longer than n."""
+def shorten(c, limit: int, keep: int | None = None, ellipsis: str = "...") -> Column:
+    """Texts longer than ``limit`` become their first ``keep`` characters
+    plus the ellipsis (labels: 55 -> 52 + '...'; plot forms 28 + '...', 18 + '…')."""
     col = _c(c)
-    keep = n - len(ellipsis) if ellipsis == "..." and n == 55 else n
-    return F.when(F.length(col) > n, F.concat(F.substring(col, 1, keep), F.lit(ellipsis))).otherwise(col)
+    keep = limit - len(ellipsis) if keep is None else keep
+    return F.when(F.length(col) > limit, F.concat(F.substring(col, 1, keep), F.lit(ellipsis))).otherwise(col)
 
 
 def percent_text(x) -> Column:

@@ -116,7 +116,7 @@ def topic_labels(words: DataFrame, rules=None, max_len: int = 55) -> DataFrame:
            .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_ws"))
            .select("topic", F.transform("_ws", lambda x: x["term"]).alias("words")))
     lab = F.coalesce(rule_label(F.array_join("words", " "), rules), default_label(F.col("words")))
-    lab = F.when(F.length(lab) > max_len, F.concat(F.substring(lab, 1, max_len - 3), F.lit("..."))).otherwise(lab)
+    lab = T.shorten(lab, max_len)
     return agg.select("topic", "words", F.array_join(F.slice("words", 1, 3), " / ").alias("raw_label"),
                       lab.alias("label"))
 

@@ -230,7 +230,8 @@ SELECT topic_id, topic_label, raw_label, signal_class, peak_year, peak_velocity,
 def final_events(spark, sf_dir):
     """V37 + J8."""
     sig, v = verification(spark, sf_dir)
-    return E.final_events(sig, v)
+    # Events by peak velocity, null as 0, descending (output order only)
+    return E.final_events(sig, v).orderBy(F.desc(F.coalesce("peak_velocity", F.lit(0.0))), "topic_id")
 
 
 @register("final_tallies", FINAL_SQL + """

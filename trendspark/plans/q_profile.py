@@ -87,7 +87,7 @@ SELECT 'year', strftime(CAST(date_trunc('year', month) AS DATE), '%Y-%m-%d'), CA
 def counts_by_period(spark, sf_dir):
     """A1 + D1: one scan to monthly counts; quarters and years roll up from the
     month table (tiny), so the raw rows are aggregated only once."""
-    m = _monthly_orders(spark, sf_dir).cache()
+    m = _monthly_orders(spark, sf_dir)  # one subtree, reused exchange in all three branches
     q = m.groupBy(D.quarter_start("month").alias("p")).agg(F.sum("n").alias("n"))
     y = m.groupBy(D.year_start("month").alias("p")).agg(F.sum("n").alias("n"))
     return (m.select(F.lit("month").alias("grain"), D.ymd("month").alias("period"), "n")

@@ -22,10 +22,22 @@ def _src(spark, sf_dir, name):
     return ST.source(spark, os.path.join(sf_dir, f"{name}.parquet"), schema, max_files=1)
 
 
-@register("stream_window_counts")
+WINDOW_SQL = """
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM events),
+w AS (SELECT date_trunc('day', ts) AS ws, event_type FROM e
+      UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, event_type FROM e),
+c AS (SELECT ws, ws + INTERVAL 2 DAY AS we, event_type, count(*) AS n FROM w GROUP BY 1, 2, 3)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(we, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, CAST(n AS BIGINT) AS n
+FROM c WHERE we <= (SELECT max(ts) FROM e) - INTERVAL 1 DAY"""
+
+
+@register("stream_window_counts", WINDOW_SQL)
 def stream_window_counts(spark, sf_dir):
     """S7 + X1: events per sliding 2-day window (1-day step) and event type;
     watermark 1 day; append mode emits closed windows only."""
+    # event times are zone-less; windows and their text are defined in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = _src(spark, sf_dir, "events")
     c = ST.window_counts(ev, "ts", ["event_type"], WINDOW, SLIDE, WATERMARK)
     t = ST.run_to_table(c, "window_counts")
@@ -41,7 +53,14 @@ def _topic_rows(orders):
     return orders.where(keep).select(topic.alias("topic"), yr.alias("year"), "o_orderdate")
 
 
-@register("stream_hybrid_velocity")
+def _hybrid_sql():
+    from trendspark.plans.q_trend import HYBRID_SQL
+    return HYBRID_SQL + """
+SELECT strftime(ws, '%Y-%m-%d') AS window_start, topic, CAST(n AS BIGINT) AS n, round(share, 6) AS share,
+       round(weight, 6) AS weight, round(share * weight, 6) AS v_hyb FROM h"""
+
+
+@register("stream_hybrid_velocity", _hybrid_sql())
 def stream_hybrid_velocity(spark, sf_dir):
     """Window counts merged into a state table by foreachBatch, then the
     calendar-window hybrid velocity (W11) on the state."""
@@ -62,7 +81,13 @@ def stream_hybrid_velocity(spark, sf_dir):
                     F.round(F.col("share") * F.col("weight"), 6).alias("v_hyb"))
 
 
-@register("stream_state_velocity")
+def _state_sql():
+    from trendspark.plans.q_trend import SIGNAL_SQL_CTES
+    return SIGNAL_SQL_CTES + """
+SELECT topic, year, CAST(n_kt AS BIGINT) AS n_kt, velocity, gap FROM s"""
+
+
+@register("stream_state_velocity", _state_sql())
 def stream_state_velocity(spark, sf_dir):
     """Running dense velocity and gap per topic with state per topic
     (applyInPandasWithState; lag is not available on streams)."""
@@ -72,7 +97,19 @@ def stream_state_velocity(spark, sf_dir):
     return ST.latest_per_key(t, ["topic", "year"], "_epoch").select("topic", "year", "n_kt", "velocity", "gap")
 
 
-@register("stream_predict")
+def _predict_sql():
+    from trendspark.plans import sqlfrag as S
+    from trendspark.plans.q_topics import BASE_SQL
+    return BASE_SQL + f""",
+q AS (SELECT doc_id AS query_id, {S.tokens(S.clean_alnum('text'))} AS t FROM documents),
+qt AS (SELECT DISTINCT query_id, unnest(list_concat(t, {S.bigrams('t')})) AS term FROM q),
+hits AS (SELECT qt.query_id, w.topic, sum(w.score) AS score FROM qt JOIN words w ON w.term = qt.term GROUP BY 1, 2),
+hb AS (SELECT query_id, first(topic ORDER BY score DESC, topic) AS bt, max(score) AS bs FROM hits GROUP BY query_id)
+SELECT q.query_id AS doc_id, coalesce(hb.bt, (SELECT min(topic) FROM words)) AS topic,
+       round(coalesce(hb.bs, 0.0), 6) AS score FROM q LEFT JOIN hb ON hb.query_id = q.query_id"""
+
+
+@register("stream_predict", _predict_sql())
 def stream_predict(spark, sf_dir):
     """X4 + J12: documents as a stream scored against the static topic words
     (broadcast) in each micro-batch: best topic per document."""

@@ -108,13 +108,18 @@ def labels_sql(rules, name: str = "labs") -> str:
 @register("class_tfidf", BASE_SQL + f""",
 iw AS (SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY w DESC, term) AS INTEGER) AS rank, term, w
        FROM c0w QUALIFY rank <= {TP.N_WORDS})
-SELECT topic, rank, term, round(w, 6) AS score FROM iw""")
+SELECT topic, rank, term, round(w, 6) AS score,
+       round(CASE WHEN rank <= 8 THEN w / sum(CASE WHEN rank <= 8 THEN w END) OVER (PARTITION BY topic) END, 6) AS share8
+FROM iw""")
 def class_tfidf(spark, sf_dir):
     """V16 + K4: top 10 c-TF-IDF terms per class of the initial assignment
-    (the outlier class included, as a class of its own)."""
+    (the outlier class included, as a class of its own); ``share8`` is the
+    8-word form rescaled to sum 1."""
     p = pipeline(spark, sf_dir)
     w = TP.top_words(p["ct0"])
-    return w.select("topic", "rank", "term", F.round("score", 6).alias("score"))
+    top8 = F.sum(F.when(F.col("rank") <= 8, F.col("score"))).over(Window.partitionBy("topic"))
+    return w.select("topic", "rank", "term", F.round("score", 6).alias("score"),
+                    F.round(F.when(F.col("rank") <= 8, F.col("score") / top8), 6).alias("share8"))
 
 
 @register("term_pmi", BASE_SQL + """,
