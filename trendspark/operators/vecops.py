@@ -57,21 +57,66 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid
                   max_broadcast: int = MAX_BROADCAST_QUERIES, group: str | None = None) -> DataFrame:
     """Exact top-k by dot product (cosine on unit vectors): (qid, rank, cid, sim).
     Ties: lower corpus id first. With ``group`` (a column on both sides) only
-    pairs of the same group are compared (an equi-join on the group)."""
+    pairs of the same group are compared.
+
+    Each size-checked query chunk is shipped to the tasks as a broadcast
+    matrix; every corpus partition computes its block of similarities with one
+    BLAS product (Arrow batches through ``mapInPandas``) and emits only its own
+    top-k per query (all ties at the k-th value kept, so the result is exact);
+    the final top-k per query is a ``row_number() <= k`` over those few rows."""
+    spark = corpus.sparkSession
     out = None
-    qcols = [qid, qv] + ([F.col(group).alias("_qg")] if group else [])
-    ccols = [cid, cv] + ([F.col(group).alias("_cg")] if group else [])
+    qcols = [qid, qv] + ([group] if group else [])
+    qtype = queries.schema[qid].dataType
+    ctype = corpus.schema[cid].dataType
     for chunk in _chunks(queries.select(*qcols), qid, max_broadcast):
-        cond = F.lit(True)
-        if group:
-            cond = F.col("_qg") == F.col("_cg")
-        if exclude_self:
-            cond = cond & (F.col(cid) != F.col(qid))
-        j = corpus.select(*ccols).join(F.broadcast(chunk), cond)
-        s = j.select(qid, cid, V.dot(qv, cv).alias("sim"))
+        rows = chunk.collect()  # <= max_broadcast rows: the size-checked broadcast side
+        if not rows:
+            continue
+        q_ids = [r[qid] for r in rows]
+        q_mat = np.array([np.asarray(r[qv], dtype=np.float64) for r in rows])
+        q_grp = np.array([r[group] for r in rows], dtype=object) if group else None
+        bc = spark.sparkContext.broadcast((q_ids, q_mat, q_grp))
+
+        def blocks(it, bc=bc):
+            ids, qm, qg = bc.value
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                cm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cv]])
+                cids = pdf[cid].to_numpy()
+                sims = cm @ qm.T  # (corpus rows) x (queries)
+                if group:
+                    sims = np.where(pdf[group].to_numpy(dtype=object)[:, None] == qg[None, :], sims, -np.inf)
+                res_q, res_c, res_s = [], [], []
+                for j, q in enumerate(ids):
+                    s = sims[:, j].copy()
+                    if exclude_self:
+                        s[cids == q] = -np.inf
+                    ok = np.isfinite(s)
+                    if not ok.any():
+                        continue
+                    if ok.sum() > k:
+                        kth = np.partition(s[ok], -k)[-k]
+                        cand = np.where(s >= kth)[0]
+                    else:
+                        cand = np.where(ok)[0]
+                    order = cand[np.lexsort((cids[cand], -s[cand]))][:k]
+                    res_q += [q] * len(order)
+                    res_c += list(cids[order])
+                    res_s += list(s[order])
+                if res_q:
+                    yield pd.DataFrame({qid: res_q, cid: res_c, "sim": res_s})
+
+        schema = (f"{qid} {qtype.simpleString()}, {cid} {ctype.simpleString()}, sim double")
+        ccols = [cid, cv] + ([group] if group else [])
+        cand = corpus.select(*ccols).mapInPandas(blocks, schema)
         w = Window.partitionBy(qid).orderBy(F.desc("sim"), F.col(cid))
-        r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        r = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = r if out is None else out.unionByName(r)
+    if out is None:
+        return spark.createDataFrame([], f"{qid} {qtype.simpleString()}, rank int, {cid} {ctype.simpleString()}, "
+                                         f"sim double")
     return out.select(qid, F.col("rank").cast("int").alias("rank"), cid, "sim")
 
 
