@@ -4,9 +4,6 @@ robustness, bootstrap stability, ablation, state round trip."""
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F

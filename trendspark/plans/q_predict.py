@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
-from trendspark.operators import bow, events as E, topics as TP, trend
+from trendspark.operators import bow, events as E, trend
 from trendspark.plans.q_events import NEWS_SIGNALS_SQL, news_signals
 from trendspark.plans.q_quality import _merge
 from trendspark.plans.q_vectors import PURITY_SQL, _mean_sql, _unit_sql, features_df

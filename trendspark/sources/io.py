@@ -3,10 +3,7 @@ persisted model state with its manifest."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 ARTICLE_SCHEMA = Ty.StructType([
