@@ -57,21 +57,32 @@ def window_counts(events: DataFrame, ts: str, keys: list[str], length: str, slid
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n"))
 
 
-def merge_counts_batch(state_path_ref: list, key_cols: list[str]):
+def _latest_state(spark: SparkSession, root: str, before_epoch: int) -> DataFrame | None:
+    """The newest committed epoch partition of the state table (None when the
+    table does not exist yet). Read from storage, not from driver memory, so a
+    restarted query continues from its last state."""
+    try:
+        t = spark.read.parquet(root)
+    except Exception:  # noqa: BLE001 - the table is created by the first batch
+        return None
+    last = t.where(F.col("epoch") < before_epoch).agg(F.max("epoch")).first()[0]
+    return None if last is None else t.where(F.col("epoch") == last).drop("epoch")
+
+
+def merge_counts_batch(root: str, key_cols: list[str]):
     """X2 helper: a foreachBatch function that merges the batch's counts into
-    a versioned parquet state table (idempotent per epoch: the new version is
-    keyed by the epoch id and only then made current)."""
+    a state table partitioned by epoch. Each batch overwrites only its own
+    epoch partition (dynamic partition overwrite), so a retried batch is
+    idempotent, and the previous state is found in the table itself."""
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         agg = batch.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
-        cur = state_path_ref[0]
+        cur = _latest_state(spark, root, epoch_id)
         if cur is not None:
-            agg = (spark.read.parquet(cur).unionByName(agg)
-                   .groupBy(*key_cols).agg(F.sum("n").alias("n")))
-        nxt = state_path_ref[1] + f"/epoch={epoch_id}"
-        agg.write.mode("overwrite").parquet(nxt)
-        state_path_ref[0] = nxt
+            agg = cur.unionByName(agg).groupBy(*key_cols).agg(F.sum("n").alias("n"))
+        (agg.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
 
     return fn
 
@@ -79,13 +90,13 @@ def merge_counts_batch(state_path_ref: list, key_cols: list[str]):
 def run_foreach_batch(df: DataFrame, name: str, key_cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     out, ckpt = _paths(spark, name)
-    ref = [None, out]
-    q = (df.writeStream.foreachBatch(merge_counts_batch(ref, key_cols)).option("checkpointLocation", ckpt)
+    q = (df.writeStream.foreachBatch(merge_counts_batch(out, key_cols)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if ref[0] is None:
+    last = _latest_state(spark, out, 1 << 62)
+    if last is None:
         return spark.createDataFrame([], df.select(*key_cols).schema.add("n", "long"))
-    return spark.read.parquet(ref[0])
+    return last
 
 
 STATE_OUT = "topic int, year int, n_kt long, velocity double, gap int, epoch long"
@@ -143,7 +154,9 @@ def run_update_to_table(df: DataFrame, name: str) -> DataFrame:
     out, ckpt = _paths(spark, name)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
+        # one partition per epoch, overwritten on retry: idempotent
+        (batch.withColumn("_epoch", F.lit(epoch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out))
 
     q = (df.writeStream.foreachBatch(fn).outputMode("update").option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
@@ -158,7 +171,8 @@ def run_batches(df: DataFrame, name: str, fn_batch) -> DataFrame:
     out, ckpt = _paths(spark, name)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        fn_batch(batch).withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
+        (fn_batch(batch).withColumn("_epoch", F.lit(epoch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out))
 
     q = df.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
