@@ -70,13 +70,16 @@ def reassign_outliers(terms: DataFrame, assign: DataFrame, ct: DataFrame,
     Returns (per-outlier similarity table, new assignment)."""
     idf = ct.select("term", F.log(1 + F.col("A") / F.col("tf_t")).alias("idf")).distinct()
     out = assign.where(F.col("topic") == -1).select("doc_id")
+    # document vectors with their norm in one pass: the window is per document
+    # (bounded by the document's distinct terms), so no second branch re-reads them
     dv = (terms.join(out, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-          .join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x")))
-    dn = dv.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+          .join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
+          .withColumn("nx", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))))
     tw = ct.where(F.col("topic") != -1).select("topic", "term", "w")
     tn = tw.groupBy("topic").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
-    sim = (dv.join(tw, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-           .join(dn, "doc_id").join(F.broadcast(tn), "topic")
+    sim = (dv.join(tw, "term").groupBy("doc_id", "topic")
+           .agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.first("nx").alias("nx"))
+           .join(F.broadcast(tn), "topic")
            .select("doc_id", "topic", (F.col("dot") / (F.col("nx") * F.col("nw"))).alias("sim")))
     best = sim.groupBy("doc_id").agg(
         F.max_by(F.struct("topic", "sim"), F.struct(F.col("sim"), -F.col("topic"))).alias("_b"))
