@@ -67,8 +67,12 @@ def timeline_df(spark, with_garbage: bool = False):
 
 
 def news_signals(spark, sf_dir):
+    """Signals on the news calendar. The finished signal table (topics x years,
+    independent of the row count) feeds many branches of every event query,
+    so it is written once to the checkpoint folder."""
+    from trendspark.session import cut_lineage
     o = topic_orders(spark, sf_dir).withColumn("year", F.col("year") + YEAR_SHIFT)
-    return trend.signal_table(o, labels=labels_df(spark))
+    return cut_lineage(trend.signal_table(o, labels=labels_df(spark)), "signals")
 
 
 # ----------------------------------------------------------------- SQL pieces
