@@ -1,30 +1,22 @@
-"""Stop lists: Spark ML's built-in English list united with the news-domain list."""
+"""Stop lists: Spark ML's English list united with the news-domain list."""
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
 
-from trendspark.rules import NEWS_DOMAIN_STOPS
+from trendspark.rules import ENGLISH_STOPS, NEWS_DOMAIN_STOPS
 
 
-@functools.lru_cache(maxsize=None)
 def spark_english_stop_words() -> tuple[str, ...]:
-    """The list behind ``StopWordsRemover.loadDefaultStopWords('english')``,
-    read from the Spark ML jar so that no JVM is needed (the SQL oracle uses it)."""
-    import pyspark
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        txt = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return tuple(w for w in txt.split() if w)
+    """The words of ``StopWordsRemover.loadDefaultStopWords('english')`` as a plain
+    list, so that neither a JVM nor a file is touched when modules load."""
+    return tuple(ENGLISH_STOPS)
 
 
 @functools.lru_cache(maxsize=None)
 def all_stops() -> tuple[str, ...]:
     """Union of the base list and the news-domain list, distinct, sorted."""
-    return tuple(sorted(set(spark_english_stop_words()) | set(NEWS_DOMAIN_STOPS)))
+    return tuple(sorted(set(ENGLISH_STOPS) | set(NEWS_DOMAIN_STOPS)))
 
 
 def sql_list(words) -> str:

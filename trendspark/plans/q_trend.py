@@ -47,7 +47,7 @@ def signal_class(spark, sf_dir):
 register("signal_class", SIGNAL_SQL_CTES + """
 SELECT CAST(topic AS INTEGER) AS topic_id, CAST(year AS INTEGER) AS year, n_kt, velocity, popularity,
        nonzero_years, gap, decay, signal_class,
-       CAST(NULL AS VARCHAR) AS raw_label, 'Topic ' || CAST(topic AS VARCHAR) AS topic_label
+       'Topic ' || CAST(topic AS VARCHAR) AS topic_label, CAST(NULL AS VARCHAR) AS raw_label
 FROM sig""")(signal_class)
 
 

@@ -61,10 +61,11 @@ def _latest_state(spark: SparkSession, root: str, before_epoch: int) -> DataFram
     """The newest committed epoch partition of the state table (None when the
     table does not exist yet). Read from storage, not from driver memory, so a
     restarted query continues from its last state."""
-    try:
-        t = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - the table is created by the first batch
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
+    t = spark.read.parquet(root)  # any read error rises: a broken state must not restart the counts
     last = t.where(F.col("epoch") < before_epoch).agg(F.max("epoch")).first()[0]
     return None if last is None else t.where(F.col("epoch") == last).drop("epoch")
 
@@ -103,41 +104,44 @@ STATE_OUT = "topic int, year int, n_kt long, velocity double, gap int, epoch lon
 STATE_SCHEMA = "years array<int>, counts array<long>, epoch long"
 
 
-def _velocity_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-                    year_range: tuple[int, int] | None = None) -> Iterator[pd.DataFrame]:
-    """Per topic, counts per year kept in state (bounded by the calendar);
-    the batch's rows arrive as an iterator of chunks, so a hot topic is never
-    held whole. Emits the topic's dense series over the calendar (given, or
-    the topic's own range) with gap and eps-velocity."""
-    counts: dict[int, int] = {}
-    epoch = 0
-    if state.exists:
-        years, cnts, epoch = state.get
-        counts = {int(y): int(c) for y, c in zip(years, cnts)}
-        epoch = int(epoch) + 1
-    for pdf in pdfs:
-        for y, c in pdf["year"].value_counts().items():
-            counts[int(y)] = counts.get(int(y), 0) + int(c)
-    ys = sorted(counts)
-    state.update((ys, [counts[y] for y in ys], epoch))
-    rows, gap, prev = [], 0, None
-    lo, hi = year_range if year_range else (ys[0], ys[-1])
-    for y in range(lo, hi + 1):
-        n = counts.get(y, 0)
-        gap = 0 if n > 0 else gap + 1
-        v = 0.0 if prev is None else (n - prev) / (prev + 1.0)
-        rows.append((int(key[0]), y, n, round(v, 4), gap, epoch))
-        prev = n
-    yield pd.DataFrame(rows, columns=["topic", "year", "n_kt", "velocity", "gap", "epoch"])
-
-
 def running_velocity(rows: DataFrame, year_range: tuple[int, int] | None = None) -> DataFrame:
-    """``applyInPandasWithState`` keyed by topic over (topic, year) rows;
-    ``year_range`` is the calendar of the dense grid (a parameter on a live
-    stream, where the full set of years is not known in advance)."""
-    import functools
-    fn = functools.partial(_velocity_state, year_range=year_range)
-    return rows.groupBy("topic").applyInPandasWithState(fn, STATE_OUT, STATE_SCHEMA, "update", "NoTimeout")
+    """``applyInPandasWithState`` keyed by topic over (topic, year) rows.
+
+    Each partition first counts its rows per (topic, year), so the shuffle to
+    the state operator carries counts and a hot topic is no hot task. The
+    state holds counts per year (bounded by the calendar). ``year_range`` is
+    the calendar of the dense grid (a parameter on a live stream, where the
+    full set of years is not known in advance). Both functions are nested, so
+    Python workers need no import of this package."""
+
+    def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pdf.groupby(["topic", "year"], as_index=False).size().rename(columns={"size": "n"})
+
+    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts: dict[int, int] = {}
+        epoch = 0
+        if state.exists:
+            years, cnts, epoch = state.get
+            counts = {int(y): int(c) for y, c in zip(years, cnts)}
+            epoch = int(epoch) + 1
+        for pdf in pdfs:
+            for y, c in zip(pdf["year"], pdf["n"]):
+                counts[int(y)] = counts.get(int(y), 0) + int(c)
+        ys = sorted(counts)
+        state.update((ys, [counts[y] for y in ys], epoch))
+        out, gap, prev = [], 0, None
+        lo, hi = year_range if year_range else (ys[0], ys[-1])
+        for y in range(lo, hi + 1):
+            n = counts.get(y, 0)
+            gap = 0 if n > 0 else gap + 1
+            v = 0.0 if prev is None else (n - prev) / (prev + 1.0)
+            out.append((int(key[0]), y, n, round(v, 4), gap, epoch))
+            prev = n
+        yield pd.DataFrame(out, columns=["topic", "year", "n_kt", "velocity", "gap", "epoch"])
+
+    counted = rows.select("topic", "year").mapInPandas(count, "topic int, year int, n long")
+    return counted.groupBy("topic").applyInPandasWithState(update, STATE_OUT, STATE_SCHEMA, "update", "NoTimeout")
 
 
 def latest_per_key(table: DataFrame, keys: list[str], order: str = "epoch") -> DataFrame:
