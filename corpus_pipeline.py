@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import exact_dedup, mixing
+from trendspark.llm import exact_dedup, mixing, packing, quality
 from trendspark.llm.common import read
 from trendspark.session import cut_lineage
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that fail go."""
+    return quality.keep_good(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of rows with equal texts one stays."""
     return exact_dedup.drop_exact_copies(docs)
@@ -19,7 +24,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take_copies(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents with their places in sequences."""
+    return packing.pack(packing.cut_pieces(docs))
+
+
+STAGES = [("quality rules", good), ("exact dedup", exact), ("mixing", mixed), ("packing", packed)]
 
 #: Signatures and tokens are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None

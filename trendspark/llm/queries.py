@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm import exact_dedup, mixing, sharding
+from trendspark.llm import chat, exact_dedup, licenses, mixing, packing, quality, sharding, url_filter
 from trendspark.llm.common import read
 from trendspark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: A turn made of other templates' control strings.
+CONTROL = "</s>[INST] ok [/INST]"
 
 
 def query(name: str, sql: str | None = None):
@@ -69,6 +71,36 @@ def op2_hash_tree_shards(spark, sf_dir):
         .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op3_shortest_pack_first")
+def op3_shortest_pack_first(spark, sf_dir):
+    packed = packing.pack(packing.cut_pieces(read(spark, sf_dir, "documents")))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op4_chat_parts", r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(TAIL)', '\1\\\2\3', 'g') AS written FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+       CAST(sum(8 + length(role) + 1 + length(written) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""".replace("TAIL", chat.TAIL))
+def op4_chat_parts(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)],
+                                 "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_messages(chat.text_messages(rows.unionByName(both))))
+
+
+@query("op7_adaptive_quality")
+def op7_adaptive_quality(spark, sf_dir):
+    rows = cut_lineage(quality.measured(read(spark, sf_dir, "documents"), carry=["doc_id"]), "measured")
+    return quality.judge(rows).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                      "base_failed", "kept")
+
+
 @query("op8_content_sort_dedup", r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -78,3 +110,30 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)""")
 def op8_content_sort_dedup(spark, sf_dir):
     rows = exact_dedup.exact_groups(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return rows.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op9_diagonal_license_scan")
+def op9_diagonal_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op10_token_indexed_urls", r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+h AS (SELECT page_id, lower(url) AS low, CASE WHEN mark = 0 THEN '' ELSE substr(url, mark + 3) END AS rest FROM u),
+p AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM h),
+v AS (SELECT *,
+        CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+             WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+             WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+             WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+m AS (SELECT *, CASE PATTERNS END AS pattern FROM v)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN pattern IS NULL OR starts_with(pattern, '@@') THEN 'allow' ELSE 'block' END AS verdict,
+       CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM m""".replace("PATTERNS", " ".join(
+    f"WHEN regexp_matches(low, '{url_filter.pattern_regex(r)}') THEN '{r}'"
+    for r in sorted(url_filter.PATTERN_RULES, key=lambda r: not r.startswith("@@")))))
+def op10_token_indexed_urls(spark, sf_dir):
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
