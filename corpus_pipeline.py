@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import exact_dedup, mixing, packing, quality
+from trendspark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from trendspark.llm.common import read
 from trendspark.session import cut_lineage
 
@@ -19,6 +19,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near dedup: of documents linked by similar texts one stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each row as often as the mix takes it."""
     return mixing.take_copies(docs)
@@ -29,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(docs))
 
 
-STAGES = [("quality rules", good), ("exact dedup", exact), ("mixing", mixed), ("packing", packed)]
+STAGES = [("quality rules", good), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
 
 #: Signatures and tokens are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm import chat, exact_dedup, licenses, mixing, packing, quality, sharding, url_filter
+from trendspark.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, toxicity, url_filter
 from trendspark.llm.common import read
 from trendspark.session import cut_lineage
 
@@ -137,3 +137,17 @@ FROM m""".replace("PATTERNS", " ".join(
     for r in sorted(url_filter.PATTERN_RULES, key=lambda r: not r.startswith("@@")))))
 def op10_token_indexed_urls(spark, sf_dir):
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
+@query("op6_bagminhash_classes")
+def op6_bagminhash_classes(spark, sf_dir):
+    found = near_dedup.near_classes(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+@query("op5_crf_toxicity")
+def op5_crf_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(*toxicity.labelled_sample(docs, labels))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
