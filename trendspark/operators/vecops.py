@@ -2,10 +2,9 @@
 coherence and separation, exact kNN graph, mutual reachability and the
 participation ratio.
 
-Exact nearest-neighbour search compares every query with every corpus row:
-the query side is broadcast in size-checked chunks and the corpus is scanned
-once per chunk; each task keeps only its best k per query before the shuffle
-(partial top-k), so pairs are never materialised or shuffled.
+Exact nearest-neighbour search compares blocks of queries with blocks of the
+corpus on the executors and keeps the best k per query and block pair; against
+a few centroids the queries are scored where they lie.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import vectors as V
 
-MAX_BROADCAST_QUERIES = 20000  # rows of query vectors broadcast per chunk
+BLOCK = 512  # vectors of a block in exact search
 
 
 def mean_vectors(df: DataFrame, group: str | None, vec: str) -> DataFrame:
@@ -43,81 +42,81 @@ def centroids(df: DataFrame, group: str, vec: str, centre: DataFrame | None = No
     return m.select(group, V.unit("mean").alias("centroid"), "n")
 
 
-def _chunks(queries: DataFrame, qid: str, max_rows: int):
-    n = queries.count()  # size check of the broadcast side (one number to the driver)
-    k = max(1, math.ceil(n / max_rows))
-    if k == 1:
-        return [queries]
-    b = F.pmod(F.xxhash64(qid), F.lit(k))
-    return [queries.where(b == i) for i in range(k)]
+def _best(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, the largest first, ties in column order."""
+    return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+
+
+def nearest_few(queries: DataFrame, few: DataFrame, k: int, qid: str = "qid", cid: str = "cid",
+                qv: str = "qv", cv: str = "cv") -> DataFrame:
+    """Exact top-k of a few vectors, one per topic, for every query: (qid, rank, cid, sim).
+
+    Only the few come to the driver (topics x dimension, independent of the
+    rows); they travel with the tasks, and each batch of queries is scored by one
+    product where it lies: no shuffle. Ties: lower id first."""
+    known = few.select(cid, cv).orderBy(cid).collect()
+    ids = np.array([r[cid] for r in known])
+    mat = np.array([r[cv] for r in known], dtype=np.float64)
+    types = queries.schema[qid].dataType.simpleString(), few.schema[cid].dataType.simpleString()
+
+    def score(batches):
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                sims = np.stack(pdf[qv].to_numpy()).astype(np.float64) @ mat.T
+                best = _best(sims, k)
+                n = best.shape[1]
+                yield pd.DataFrame({qid: np.repeat(pdf[qid].to_numpy(), n), "rank": np.tile(np.arange(1, n + 1), len(pdf)),
+                                    cid: ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
+
+    return queries.select(qid, qv).mapInPandas(score, f"{qid} {types[0]}, rank int, {cid} {types[1]}, sim double")
+
+
+def _blocks(df: DataFrame, keys: list[str], id_col: str, vec: str, prefix: str, size: int) -> DataFrame:
+    """Rows packed into blocks of about ``size`` vectors by a hash of the id."""
+    n = max(1, math.ceil(df.count() / size))
+    return (df.groupBy(*keys, F.pmod(F.xxhash64(id_col), F.lit(n)).alias(f"{prefix}_block"))
+            .agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).alias("v"))).alias(prefix)))
 
 
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid",
                   qv: str = "qv", cv: str = "cv", exclude_self: bool = False,
-                  max_broadcast: int = MAX_BROADCAST_QUERIES, group: str | None = None) -> DataFrame:
+                  block: int = BLOCK, group: str | None = None) -> DataFrame:
     """Exact top-k by dot product (cosine on unit vectors): (qid, rank, cid, sim).
     Ties: lower corpus id first. With ``group`` (a column on both sides) only
     pairs of the same group are compared.
 
-    Each size-checked query chunk is shipped to the tasks as a broadcast
-    matrix; every corpus partition computes its block of similarities with one
-    BLAS product (Arrow batches through ``mapInPandas``) and emits only its own
-    top-k per query (all ties at the k-th value kept, so the result is exact);
-    the final top-k per query is a ``row_number() <= k`` over those few rows."""
-    spark = corpus.sparkSession
-    out = None
-    qcols = [qid, qv] + ([group] if group else [])
-    qtype = queries.schema[qid].dataType
-    ctype = corpus.schema[cid].dataType
-    for chunk in _chunks(queries.select(*qcols), qid, max_broadcast):
-        rows = chunk.collect()  # <= max_broadcast rows: the size-checked broadcast side
-        if not rows:
-            continue
-        q_ids = [r[qid] for r in rows]
-        q_mat = np.array([np.asarray(r[qv], dtype=np.float64) for r in rows])
-        q_grp = np.array([r[group] for r in rows], dtype=object) if group else None
-        bc = spark.sparkContext.broadcast((q_ids, q_mat, q_grp))
-
-        def blocks(it, bc=bc):
-            ids, qm, qg = bc.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                cm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[cv]])
-                cids = pdf[cid].to_numpy()
-                sims = cm @ qm.T  # (corpus rows) x (queries)
-                if group:
-                    sims = np.where(pdf[group].to_numpy(dtype=object)[:, None] == qg[None, :], sims, -np.inf)
-                res_q, res_c, res_s = [], [], []
-                for j, q in enumerate(ids):
-                    s = sims[:, j].copy()
-                    if exclude_self:
-                        s[cids == q] = -np.inf
-                    ok = np.isfinite(s)
-                    if not ok.any():
-                        continue
-                    if ok.sum() > k:
-                        kth = np.partition(s[ok], -k)[-k]
-                        cand = np.where(s >= kth)[0]
-                    else:
-                        cand = np.where(ok)[0]
-                    order = cand[np.lexsort((cids[cand], -s[cand]))][:k]
-                    res_q += [q] * len(order)
-                    res_c += list(cids[order])
-                    res_s += list(s[order])
-                if res_q:
-                    yield pd.DataFrame({qid: res_q, cid: res_c, "sim": res_s})
-
-        schema = (f"{qid} {qtype.simpleString()}, {cid} {ctype.simpleString()}, sim double")
-        ccols = [cid, cv] + ([group] if group else [])
-        cand = corpus.select(*ccols).mapInPandas(blocks, schema)
-        w = Window.partitionBy(qid).orderBy(F.desc("sim"), F.col(cid))
-        r = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = r if out is None else out.unionByName(r)
-    if out is None:
-        return spark.createDataFrame([], f"{qid} {qtype.simpleString()}, rank int, {cid} {ctype.simpleString()}, "
-                                         f"sim double")
-    return out.select(qid, F.col("rank").cast("int").alias("rank"), cid, "sim")
+    Both sides are packed into blocks of about ``block`` vectors and every block
+    of queries meets every block of the corpus on the executors: one product of a
+    bounded size per pair of blocks, of which only the k best per query go on to
+    the final ``row_number() <= k``. Nothing passes through the driver; the cost
+    is that of exact search, rows x rows / block^2 products."""
+    keys = [group] if group else []
+    q = _blocks(queries.select(*keys, qid, qv), keys, qid, qv, "q", block)
+    c = _blocks(corpus.select(*keys, cid, cv), keys, cid, cv, "c", block)
+    pairs = q.join(c, group) if group else q.crossJoin(c)  # blocks, not rows
+    types = queries.schema[qid].dataType.simpleString(), corpus.schema[cid].dataType.simpleString()
+
+    def side(rows) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([r["id"] for r in rows])
+        order = np.argsort(ids, kind="stable")
+        return ids[order], np.array([r["v"] for r in rows], dtype=np.float64)[order]
+
+    def score(batches):
+        for pdf in batches:
+            for q_rows, c_rows in zip(pdf["q"], pdf["c"]):
+                (q_ids, q_mat), (c_ids, c_mat) = side(q_rows), side(c_rows)
+                sims = q_mat @ c_mat.T
+                if exclude_self:
+                    sims[q_ids[:, None] == c_ids[None, :]] = -np.inf
+                best = _best(sims, k)
+                out = pd.DataFrame({qid: np.repeat(q_ids, best.shape[1]), cid: c_ids[best].ravel(),
+                                    "sim": np.take_along_axis(sims, best, 1).ravel()})
+                yield out[np.isfinite(out["sim"])]
+
+    found = pairs.select("q", "c").mapInPandas(score, f"{qid} {types[0]}, {cid} {types[1]}, sim double")
+    w = Window.partitionBy(qid).orderBy(F.desc("sim"), F.col(cid))
+    return (found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+            .select(qid, "rank", cid, "sim"))
 
 
 def group_coherence(df: DataFrame, group: str, vec: str, min_size: int = 2) -> DataFrame:
@@ -172,20 +171,11 @@ def fuzzy_sigma(dists, rho, k: int, iters: int = 64):
     return F.aggregate(F.sequence(F.lit(1), F.lit(iters)), init, step)["mid"]
 
 
-def mutual_reachability(knn: DataFrame, min_samples: int = 10) -> DataFrame:
+def mutual_reachability(knn: DataFrame, min_samples: int = 10, keys=()) -> DataFrame:
     """V14 (core distances and edges): core distance = distance to the
     (min_samples - 1)-th other neighbour (the point itself is the first of
-    min_samples); edge weight = max(core_a, core_b, d(a, b)) on kNN edges."""
-    core = knn.where(F.col("rank") == min_samples - 1).select(F.col("src").alias("node"),
-                                                               F.col("distance").alias("core"))
-    e = (knn.join(core.withColumnRenamed("node", "src").withColumnRenamed("core", "core_src"), "src")
-         .join(core.withColumnRenamed("node", "dst").withColumnRenamed("core", "core_dst"), "dst"))
-    return e.select("src", "dst", "distance", "core_src", "core_dst",
-                    F.greatest("core_src", "core_dst", "distance").alias("mreach"))
-
-
-def mutual_reachability_grouped(knn: DataFrame, min_samples: int = 10, keys=()) -> DataFrame:
-    """As ``mutual_reachability`` with extra key columns (independent graphs)."""
+    min_samples); edge weight = max(core_a, core_b, d(a, b)) on kNN edges.
+    ``keys``: columns of independent graphs."""
     keys = list(keys)
     core = knn.where(F.col("rank") == min_samples - 1).select(*keys, F.col("src").alias("node"),
                                                                F.col("distance").alias("core"))
@@ -199,7 +189,6 @@ def participation_ratio(df: DataFrame, vec: str) -> DataFrame:
     """(Σλ)² / Σλ² of the centred data = trace(C)² / ||C||_F², from the
     Gram matrix. Each task folds its rows into one d x d partial sum (numpy);
     the partials are summed per (i, j): no per-row d² explosion."""
-    first = df.select(F.size(vec).alias("d")).limit(1)
 
     def part(it):
         g = s = None
@@ -220,13 +209,10 @@ def participation_ratio(df: DataFrame, vec: str) -> DataFrame:
                             "si": np.repeat(s, d), "sj": np.tile(s, d), "n": n})
 
     parts = df.select(vec).mapInPandas(part, "i int, j int, g double, si double, sj double, n long")
-    tot = parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
-    sums = parts.where(F.col("j") == 0).groupBy("i").agg(F.sum("si").alias("s"))
-    n = parts.where((F.col("i") == 0) & (F.col("j") == 0)).agg(F.sum("n").alias("n"))
-    c = (tot.join(sums.select("i", F.col("s").alias("s_i")), "i")
-         .join(sums.select(F.col("i").alias("j"), F.col("s").alias("s_j")), "j")
-         .crossJoin(F.broadcast(n))
+    # One aggregate holds the Gram matrix, both sums and the count of every cell.
+    c = (parts.groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("si").alias("s_i"), F.sum("sj").alias("s_j"),
+                                     F.sum("n").alias("n"))
          .select("i", "j", (F.col("g") - F.col("s_i") * F.col("s_j") / F.col("n")).alias("c")))
     r = c.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("tr"),
-              F.sum(F.col("c") * F.col("c")).alias("fro2"))
-    return r.select((F.col("tr") * F.col("tr") / F.col("fro2")).alias("participation_ratio")).crossJoin(first)
+              F.sum(F.col("c") * F.col("c")).alias("fro2"), (F.max("i") + 1).cast("int").alias("d"))
+    return r.select((F.col("tr") * F.col("tr") / F.col("fro2")).alias("participation_ratio"), "d")

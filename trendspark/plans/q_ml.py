@@ -14,13 +14,13 @@ from trendspark.functions import vectors as V
 from trendspark.operators import bow, cluster, ml, sampling, textops, vecops
 from trendspark.plans.registry import register
 from trendspark.session import cut_lineage, scratch_path
-from trendspark.sources.tables import spread, table
+from trendspark.sources.tables import table
 
 LDA_K, LDA_ITER = 10, 20
 
 
 def _lda_input(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = d.select("doc_id", T.word_tokens(T.clean_alpha("text")).alias("wt"))
     d = textops.remove_stops(d, "wt", "tokens", bow.english_stops())
     cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=2.0, maxDF=0.95)
@@ -94,7 +94,7 @@ def svd_reduce(spark, sf_dir):
 def embed_text(spark, sf_dir):
     """Every document encoded (whole text) by the default Spark-side
     encoder: hashed token counts x a seeded random projection, unit length."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = d.select("doc_id", T.tokens(T.clean_alnum("text")).alias("tokens"))
     e = ml.hashed_encoder(d, "tokens", 64)
     return e.select("doc_id", F.size("embedding").alias("dim"),

@@ -10,6 +10,7 @@ from trendspark.functions import text as T
 from trendspark.operators import topics as TP
 from trendspark.plans.q_trend import NEWS_MONTHS
 from trendspark.plans.registry import register
+from trendspark.plans.views import order_topic
 from trendspark.session import cut_lineage
 from trendspark.sources.tables import table
 from trendspark.streaming import stream as ST
@@ -46,11 +47,7 @@ def stream_window_counts(spark, sf_dir):
 
 
 def _topic_rows(orders):
-    topic = (F.col("o_orderkey") % 8).cast("int")
-    yr = F.year("o_orderdate").cast("int")
-    keep = (F.floor(F.col("o_orderkey") / 8) % 7) < (
-        (topic * 3 + (yr - 1995) * 2) % 7 - F.when(topic == 5, 3).otherwise(0))
-    return orders.where(keep).select(topic.alias("topic"), yr.alias("year"), "o_orderdate")
+    return orders.select(order_topic().alias("topic"), F.year("o_orderdate").cast("int").alias("year"), "o_orderdate")
 
 
 def _hybrid_sql():

@@ -93,15 +93,13 @@ def stopword_filter(spark, sf_dir):
 
 
 @register("vectoriser_tokens", f"""
-WITH c AS (SELECT doc_id, regexp_extract_all({S.clean_alnum('text')}, '\\b\\w\\w+\\b') AS wt
-           FROM documents WHERE lang = 'en'),
+WITH c AS (SELECT doc_id, regexp_extract_all({S.clean_alnum('text')}, '\\b\\w\\w+\\b') AS wt FROM documents),
 k AS (SELECT doc_id, {S.stop_filter('wt', _STOPS_SQL)} AS kept FROM c),
 g AS (SELECT doc_id, list_concat(kept, {S.bigrams('kept')}) AS terms FROM k)
 SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, array_to_string(terms, '|') AS terms FROM g""")
 def vectoriser_tokens(spark, sf_dir):
-    """T9 on English documents."""
-    d = (table(spark, sf_dir, "documents").where(F.col("lang") == "en")
-         .select("doc_id", T.clean_alnum("text").alias("clean")))
+    """T9 on all documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.clean_alnum("text").alias("clean"))
     d = textops.vectorizer_terms(d, "clean", "terms")
     return d.select("doc_id", F.size("terms").cast("int").alias("n_terms"),
                     F.array_join("terms", "|").alias("terms"))

@@ -16,24 +16,43 @@ from trendspark.plans.views import TOPIC_DOCS_CTE, topic_docs, with_ctes
 from trendspark.rules import (HEALTHCARE_COHORT_BEFORE_YEAR, HEALTHCARE_COHORT_PATTERN, HEALTHCARE_SIGNALS,
                               LOW_CONFIDENCE_GATE, OUTLIER_REASSIGN_THRESHOLD, SEMANTIC_RULES)
 from trendspark.session import cut_lineage
-from trendspark.sources.tables import spread, table
+from trendspark.sources.tables import table
 
 ALL_STOPS_SQL = sql_list(all_stops())
 
 
-def pipeline(spark, sf_dir):
-    """Initial assignment -> c-TF-IDF -> outlier reassignment -> refreshed
-    c-TF-IDF -> top words (non-outlier topics)."""
-    td = topic_docs(spark, sf_dir).select("doc_id", "text", "topic", "year")
-    # the term table feeds four joins: materialise it once (reliable checkpoint)
-    terms = cut_lineage(TP.doc_terms_12(spread(td)))
-    a0 = td.select("doc_id", "topic")
-    ct0 = cut_lineage(TP.class_tfidf(TP.class_term_counts(terms, a0)))
-    per, a1 = TP.reassign_outliers(terms, a0, ct0, OUTLIER_REASSIGN_THRESHOLD)
-    a1 = cut_lineage(a1)
-    ct1 = cut_lineage(TP.class_tfidf(TP.class_term_counts(terms, a1)))
-    words = TP.top_words(ct1.where(F.col("topic") != -1))
-    return dict(td=td, terms=terms, a0=a0, ct0=ct0, per=per, a1=a1, ct1=ct1, words=words)
+class Fitted(dict):
+    """The topic model of one input: initial assignment (a0) -> c-TF-IDF (ct0) -> outlier
+    reassignment (per, a1) -> refreshed c-TF-IDF (ct1) -> top words (non-outlier topics).
+    A part is computed when a query first asks for it and written to the shared folder."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(td=topic_docs(spark, sf_dir).select("doc_id", "text", "topic", "year"))
+        self["a0"] = self["td"].select("doc_id", "topic")
+
+    def __missing__(self, part):
+        if part in ("per", "a1"):
+            per, a1 = TP.reassign_outliers(self["terms"], self["a0"], self["ct0"], OUTLIER_REASSIGN_THRESHOLD)
+            self["per"], self["a1"] = per, cut_lineage(a1, "topics-a1")
+        else:
+            self[part] = {
+                "terms": lambda: cut_lineage(TP.doc_terms_12(self["td"]), "topics-terms"),
+                "ct0": lambda: cut_lineage(TP.class_tfidf(TP.class_term_counts(self["terms"], self["a0"])), "topics-ct0"),
+                "ct1": lambda: cut_lineage(TP.class_tfidf(TP.class_term_counts(self["terms"], self["a1"])), "topics-ct1"),
+                "words": lambda: cut_lineage(TP.top_words(self["ct1"].where(F.col("topic") != -1)), "topics-words"),
+            }[part]()
+        return self[part]
+
+
+_FITTED: dict[tuple[str, str], Fitted] = {}
+
+
+def pipeline(spark, sf_dir) -> Fitted:
+    """The model of ``sf_dir``, fitted once per application; every query reads its written parts."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = Fitted(spark, sf_dir)
+    return _FITTED[key]
 
 
 # ----------------------------------------------------------------- SQL side

@@ -35,12 +35,13 @@ def _mean_sql(src: str, group: str, vec: str, name: str) -> str:
 
 
 TD = with_ctes(TOPIC_DOCS_CTE) + """,
-tdv AS (SELECT doc_id, topic, year, date, category, text, CAST(embedding AS DOUBLE[]) AS v FROM topic_docs)"""
+tdv AS (SELECT doc_id, topic, year, date, category, text, CAST(embedding AS DOUBLE[]) AS v
+        FROM topic_docs WHERE embedding IS NOT NULL)"""
 
 
 def tdv(spark, sf_dir):
-    return topic_docs(spark, sf_dir).select("doc_id", "topic", "year", "date", "category", "text",
-                                            V.as_double("embedding").alias("v"))
+    return (topic_docs(spark, sf_dir).where(F.col("embedding").isNotNull())
+            .select("doc_id", "topic", "year", "date", "category", "text", V.as_double("embedding").alias("v")))
 
 
 # ------------------------------------------------------------------ time features
@@ -158,7 +159,7 @@ def nearest_topics(spark, sf_dir):
     vector. The centroid side has one row per topic and is broadcast."""
     c = topic_centroids(spark, sf_dir).select(F.col("topic").alias("cid"), F.col("centroid").alias("cv"))
     q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), V.unit("embedding").alias("qv"))
-    t = vecops.top_k_similar(q, c, 3)
+    t = vecops.nearest_few(q, c, 3)
     return t.select(F.col("qid").alias("vec_id"), "rank", F.col("cid").alias("topic"),
                     F.round("sim", 6).alias("sim"))
 
@@ -183,8 +184,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_
 SELECT query_id, CAST(rk AS INTEGER) AS rank, doc_id, topic, round(sim, 6) AS sim FROM r WHERE rk <= 5""")
 def similar_articles(spark, sf_dir):
     """K8 + J4 + D10: the 5 most similar other articles for every article,
-    with their topic. Exact: query chunks are broadcast, every task keeps its
-    best 5 per query before the shuffle."""
+    with their topic. Exact, by blocks on the executors."""
     d = tdv(spark, sf_dir).select("doc_id", "topic", V.unit("v").alias("u"))
     q = d.select(F.col("doc_id").alias("qid"), F.col("u").alias("qv"))
     c = d.select(F.col("doc_id").alias("cid"), F.col("u").alias("cv"))
@@ -212,7 +212,7 @@ def fallback_topic(spark, sf_dir):
     smp = sampling.balanced_sample(d, "topic", "doc_id", FALLBACK_SAMPLE, 42)
     sm = vecops.mean_vectors(smp.select("topic", V.unit("v").alias("u")), "topic", "u")
     q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), V.unit("embedding").alias("qv"))
-    t = vecops.top_k_similar(q, sm.select(F.col("topic").alias("cid"), F.col("mean").alias("cv")), 1)
+    t = vecops.nearest_few(q, sm.select(F.col("topic").alias("cid"), F.col("mean").alias("cv")), 1)
     return t.select(F.col("qid").alias("vec_id"), F.col("cid").alias("topic"), F.round("sim", 6).alias("mean_sim"))
 
 
@@ -313,7 +313,7 @@ def hard_negatives(spark, sf_dir):
     ambiguity = s1 + s2; the 50 most ambiguous (needs >= 2 topics)."""
     c = topic_centroids(spark, sf_dir).select(F.col("topic").alias("cid"), F.col("centroid").alias("cv"))
     o = tdv(spark, sf_dir).where(F.col("topic") == -1).select(F.col("doc_id").alias("qid"), V.unit("v").alias("qv"))
-    t = vecops.top_k_similar(o, c, 2)
+    t = vecops.nearest_few(o, c, 2)
     p = t.groupBy("qid").agg(
         F.max(F.when(F.col("rank") == 1, F.col("cid"))).alias("topic_1"),
         F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("s1"),

@@ -11,21 +11,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it
-    (through the repartition of ``spread``, which only touches small inputs)."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that arrives in fewer partitions than the cluster has
-    cores (one small file = one row group = one task) over all cores. Large
-    inputs already have many splits and are returned untouched, so this never
-    shuffles big data."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n < par and n <= SMALL_SPLITS:
-        return df.repartition(par)
-    return df
-
-
-SMALL_SPLITS = 64  # at 128 MB per split: inputs under ~8 GB; real tables have thousands of splits
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it. How a scan is
+    split is the session's business (``session.get_spark``)."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
