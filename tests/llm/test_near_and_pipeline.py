@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from llm_fixtures import SF, docs, empty  # noqa: F401
 from trendspark.llm import near_dedup
-from trendspark.llm.components import components
 from trendspark.llm.near_dedup import Signer, near_classes, shingles, similarity, words_of
 
 
@@ -97,14 +96,6 @@ def test_one_document_of_each_class_stays(spark, docs, empty):
     assert near_dedup.drop_near_copies(empty).count() == 0
 
 
-def test_a_long_shuffled_path_is_one_component(spark):
-    names = list(range(5000))
-    random.Random(1).shuffle(names)
-    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(10_000, 10_001)], "a long, b long")
-    labels = {r["node"]: r["label"] for r in components(edges).collect()}
-    assert len(labels) == 5000 and all(labels[n] == 0 for n in range(1, 5000)) and labels[10_001] == 10_000
-
-
 def test_pipeline_keeps_what_its_stages_decide(spark):
     import corpus_pipeline
     from trendspark.llm import exact_dedup, mixing, quality
