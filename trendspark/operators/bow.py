@@ -77,28 +77,20 @@ def pair_cosine(pairs: DataFrame, tc: DataFrame) -> DataFrame:
     return pairs.join(dot, "pair_id", "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
 
 
-def group_sums(u: DataFrame, groups: DataFrame, key: str = "term", value: str = "u") -> DataFrame:
-    """Σ of unit vectors per group: (grp, key, s). ``groups``: (doc_id, grp)."""
-    return u.join(groups, "doc_id").groupBy("grp", key).agg(F.sum(value).alias("s"))
-
-
 def separation(u: DataFrame, groups: DataFrame, key: str = "term", value: str = "u",
                mode: str = "min", min_size: int = 1) -> DataFrame:
     """V7 + V8 in closed form for two groups named 'A' and 'B':
     intra = ||Σu||² / n², cross = Σu_A·Σu_B / (n_A n_B); gap = min (or mean)
-    of the intras minus cross. Pairs are never formed: O(n·d)."""
-    n = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    s = group_sums(u, groups, key, value)
-    intra = s.groupBy("grp").agg(F.sum(F.col("s") * F.col("s")).alias("ss")).join(n, "grp").select(
-        "grp", (F.col("ss") / (F.col("n") * F.col("n"))).alias("intra"), "n")
-    sa = s.where(F.col("grp") == "A").select(key, F.col("s").alias("sa"))
-    sb = s.where(F.col("grp") == "B").select(key, F.col("s").alias("sb"))
-    cross = sa.join(sb, key).agg(F.sum(F.col("sa") * F.col("sb")).alias("dot"))
-    ia = intra.where(F.col("grp") == "A").select(F.col("intra").alias("intra_a"), F.col("n").alias("n_a"))
-    ib = intra.where(F.col("grp") == "B").select(F.col("intra").alias("intra_b"), F.col("n").alias("n_b"))
-    r = ia.crossJoin(ib).crossJoin(cross).select(
-        "n_a", "n_b", "intra_a", "intra_b",
-        (F.coalesce("dot", F.lit(0.0)) / (F.col("n_a") * F.col("n_b"))).alias("cross"))
+    of the intras minus cross. Pairs are never formed: one aggregate by key holds
+    both groups' sums, one more both norms and the product."""
+    of = lambda g, c: F.sum(F.when(F.col("grp") == g, F.col(c)).otherwise(0.0))
+    n = groups.agg(F.count_if(F.col("grp") == "A").alias("n_a"), F.count_if(F.col("grp") == "B").alias("n_b"))
+    s = u.join(groups, "doc_id").groupBy(key).agg(of("A", value).alias("a"), of("B", value).alias("b"))
+    r = s.agg(*[F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0.0)).alias(x + y) for x, y in ("aa", "bb", "ab")])
+    r = r.crossJoin(F.broadcast(n)).where((F.col("n_a") > 0) & (F.col("n_b") > 0)).select(
+        "n_a", "n_b", (F.col("aa") / (F.col("n_a") * F.col("n_a"))).alias("intra_a"),
+        (F.col("bb") / (F.col("n_b") * F.col("n_b"))).alias("intra_b"),
+        (F.col("ab") / (F.col("n_a") * F.col("n_b"))).alias("cross"))
     gap = (F.least("intra_a", "intra_b") if mode == "min"
            else (F.col("intra_a") + F.col("intra_b")) / 2) - F.col("cross")
     return r.withColumn("gap", gap).where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))

@@ -11,11 +11,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
-from trendspark.operators import bow, events as E, trend
-from trendspark.plans.q_events import NEWS_SIGNALS_SQL, news_signals
+from trendspark.operators import bow, events as E, topics as TP, trend
+from trendspark.plans.q_events import NEWS_SIGNALS_SQL, news_signals, verification
 from trendspark.plans.q_quality import _merge
 from trendspark.plans.q_vectors import PURITY_SQL, _mean_sql, _unit_sql, features_df
 from trendspark.plans.registry import register
+from trendspark.plans.views import articles
 from trendspark.rules import GROUND_TRUTH_VERIFIED
 from trendspark.sources.tables import table
 
@@ -108,23 +109,32 @@ def event_classifier(spark, sf_dir):
                     E.verdict(F.col("probability")).alias("verdict")))
 
 
+def topic_verdicts(spark, sf_dir, words):
+    """V34 with its model step per topic: (topic, verdict, event_name, event_probability,
+    is_real_event). Topics without a classifier probability go on to the event dictionary."""
+    sig, ver = verification(spark, sf_dir)
+    probs = event_classifier(spark, sf_dir).select("topic_id", F.col("probability").alias("prob"))
+    t = (TP.topic_labels(words).select(F.col("topic").alias("topic_id"), F.col("label").alias("topic_label"))
+         .join(probs, "topic_id", "left").withColumn("confidence", F.lit(1.0)))
+    return E.layered_verdict(t, E.event_dictionary(spark), sig, ver).select(
+        F.col("topic_id").alias("topic"), "verdict", "event_name", "event_probability", "is_real_event")
+
+
 @register("prediction_record")
 def prediction_record(spark, sf_dir):
-    """For every benchmark query the topic (keyword score, cohort or
-    similarity fallback), gate, confidence text, top 3 topics by score and
-    the 5 most similar articles by bag-of-words cosine."""
+    """For every benchmark query the topic (keyword score, cohort or member
+    similarity), gate, confidence text, the topic's layered verdict with event name
+    and probability, the top 3 topics by member similarity and the 5 most similar
+    articles by bag-of-words cosine, with category and date."""
     from trendspark.plans.q_bow import vocab_for
-    from trendspark.plans.q_topics import pipeline, predict_df
+    from trendspark.plans.q_topics import pipeline, predict_df, topic_similarity
     p = pipeline(spark, sf_dir)
     words = p["words"]
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     q = b.select("query_id", T.query_vocab(T.tokens(T.clean_alnum("text"))).alias("vocab"))
-    qv = q.select("query_id", F.explode(F.array_distinct("vocab")).alias("term"))
-    hits = (qv.join(F.broadcast(words.select("topic", "term", "score")), "term")
-            .groupBy("query_id", "topic").agg(F.sum("score").alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("topic"))
-    top3 = (hits.withColumn("r", F.row_number().over(w)).where("r <= 3")
-            .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("r", "topic", "score"))).alias("top3")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.col("topic"))
+    top3 = (topic_similarity(p, b).withColumn("r", F.row_number().over(w)).where("r <= 3")
+            .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("r", "topic", "sim"))).alias("top3")))
     _, tc, v = vocab_for(spark, sf_dir)
     docs_u = bow.unit_rows(tc.join(F.broadcast(v.select("term")), "term", "left_semi"))
     qtc = bow.term_counts(bow.doc_terms(b, "query_id", "text")).join(F.broadcast(v.select("term")), "term",
@@ -132,14 +142,14 @@ def prediction_record(spark, sf_dir):
     qu = bow.unit_rows(qtc).select(F.col("doc_id").alias("query_id"), "term", F.col("u").alias("qu"))
     sim = (qu.join(docs_u, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qu") * F.col("u")).alias("cos")))
     w2 = Window.partitionBy("query_id").orderBy(F.desc("cos"), F.col("doc_id"))
-    sim5 = (sim.withColumn("r", F.row_number().over(w2)).where("r <= 5")
-            .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("r", "doc_id", "cos"))).alias("similar")))
+    art = articles(spark, sf_dir).select("doc_id", "headline", "category", F.col("date").cast("string").alias("date"))
+    sim5 = (sim.withColumn("r", F.row_number().over(w2)).where("r <= 5").join(art, "doc_id").groupBy("query_id")
+            .agg(F.sort_array(F.collect_list(F.struct("r", "doc_id", "cos", "headline", "category", "date"))).alias("similar")))
     pr = predict_df(spark, sf_dir)
-    m = F.col("method")
-    score = F.when(m == "keyword", F.col("best_score")).when(m == "cohort", 0.5).otherwise(0.0)
-    topic = F.when(m == "keyword", F.col("best_topic")).when(m == "cohort", F.col("cohort_topic")).otherwise(-1)
-    gate = score < 0.15
-    rec = pr.select("query_id", "method", F.when(gate, -1).otherwise(topic).cast("int").alias("topic"),
-                    score.alias("score"), F.when(gate, "UNCERTAIN").otherwise("SCORED").alias("verdict"),
-                    T.percent_text(score).alias("confidence_text"))
+    gate = F.col("score") < 0.15
+    rec = pr.select("query_id", "method", F.when(gate, -1).otherwise(F.col("topic")).cast("int").alias("topic"),
+                    "score", T.percent_text(F.col("score")).alias("confidence_text"))
+    verdicts = topic_verdicts(spark, sf_dir, words)
+    rec = rec.join(F.broadcast(verdicts), "topic", "left").withColumn(
+        "verdict", F.when(F.col("topic") == -1, "UNCERTAIN").otherwise(F.coalesce("verdict", F.lit("SCORED"))))
     return rec.join(top3, "query_id", "left").join(sim5, "query_id", "left")

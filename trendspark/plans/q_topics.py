@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
 from trendspark.functions.stopwords import all_stops, sql_list
+from trendspark.operators import bow, sampling
 from trendspark.operators import topics as TP
 from trendspark.plans import sqlfrag as S
 from trendspark.plans.registry import register
@@ -296,6 +297,8 @@ def seeded_assignment(spark, sf_dir):
                     F.round(F.coalesce(F.col("_b.score"), F.lit(0.0)), 6).alias("seed_score")))
 
 
+FALLBACK_MEMBERS = 30  # the reference's sample of members per topic
+
 PREDICT_SQL = BASE_SQL + f""",
 q AS (SELECT item_id AS query_id, {S.tokens(S.clean_alnum('text'))} AS t FROM benchmark),
 qv AS (SELECT query_id, t, list_distinct(list_concat(t, {S.bigrams('t')})) AS vocab FROM q),
@@ -312,7 +315,22 @@ pred AS (SELECT pb.query_id,
                 CASE WHEN best_score > 0 THEN 'keyword'
                      WHEN len(list_intersect(t, {sql_list(HEALTHCARE_SIGNALS)})) > 0 AND (SELECT ct FROM cm) IS NOT NULL THEN 'cohort'
                      ELSE 'similarity' END AS method,
-                best_topic, best_score FROM pb)
+                best_topic, best_score FROM pb),
+smp AS (SELECT doc_id, topic, row_number() OVER (PARTITION BY topic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk
+        FROM a1 WHERE topic <> -1 QUALIFY rk <= {FALLBACK_MEMBERS}),
+mtf AS (SELECT s.topic, t.doc_id, t.term, count(*) AS tf FROM dterms t JOIN smp s ON s.doc_id = t.doc_id GROUP BY 1, 2, 3),
+mu AS (SELECT topic, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS u FROM mtf),
+ms AS (SELECT mu.topic, term, sum(u) / n AS s FROM mu JOIN (SELECT topic, count(*) AS n FROM smp GROUP BY 1) mn
+       ON mn.topic = mu.topic GROUP BY mu.topic, term, n),
+btf AS (SELECT doc_id AS query_id, term, count(*) AS tf FROM ({_terms12('benchmark', 'item_id')}) GROUP BY 1, 2),
+bu AS (SELECT query_id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY query_id)) AS u FROM btf),
+fsim AS (SELECT query_id, topic, round(sum(u * s), 9) AS sim FROM bu JOIN ms ON ms.term = bu.term GROUP BY 1, 2),
+fb AS (SELECT query_id, first(topic ORDER BY sim DESC, topic) AS ft, max(sim) AS fs FROM fsim GROUP BY 1),
+chosen AS (SELECT p.query_id, method,
+                  CASE WHEN method = 'keyword' THEN best_topic WHEN method = 'cohort' THEN (SELECT ct FROM cm)
+                       ELSE coalesce(ft, (SELECT min(topic) FROM words)) END AS topic,
+                  CASE WHEN method = 'keyword' THEN best_score WHEN method = 'cohort' THEN 0.5 ELSE coalesce(fs, 0.0) END AS score
+           FROM pred p LEFT JOIN fb ON fb.query_id = p.query_id)
 """
 
 
@@ -332,31 +350,55 @@ def predict_df(spark, sf_dir):
     j = pb.crossJoin(F.broadcast(cm))
     method = (F.when(F.col("best_score") > 0, "keyword")
               .when(sig & F.col("cohort_topic").isNotNull(), "cohort").otherwise("similarity"))
-    return j.select("query_id", method.alias("method"), "best_topic", "best_score", "cohort_topic")
+    j = j.withColumn("method", method).join(member_similarity(p, b_text(spark, sf_dir)), "query_id", "left")
+    first = p["words"].agg(F.min("topic").alias("first_topic"))
+    m = F.col("method")
+    return j.crossJoin(F.broadcast(first)).select(
+        "query_id", "method",
+        F.when(m == "keyword", F.col("best_topic")).when(m == "cohort", F.col("cohort_topic"))
+        .otherwise(F.coalesce("sim_topic", "first_topic")).cast("int").alias("topic"),
+        F.when(m == "keyword", F.col("best_score")).when(m == "cohort", 0.5)
+        .otherwise(F.coalesce("sim", F.lit(0.0))).alias("score"))
+
+
+def b_text(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def topic_similarity(p, queries):
+    """V39 in closed form on bag-of-words vectors: (query_id, topic, sim), the mean cosine of a
+    query to at most 30 seeded members of each topic = its unit vector times the mean of the
+    members' unit vectors. Only pairs that share a term occur; a topic's mean has at most
+    30 documents' terms."""
+    members = sampling.balanced_sample(p["a1"].where(F.col("topic") != -1).select("doc_id", "topic"),
+                                       "topic", "doc_id", FALLBACK_MEMBERS, 42)
+    size = members.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    mean = (bow.unit_rows(bow.term_counts(p["terms"].join(members.select("doc_id"), "doc_id", "left_semi")))
+            .join(members, "doc_id").groupBy("topic", "term").agg(F.sum("u").alias("s"))
+            .join(F.broadcast(size), "topic").select("topic", "term", (F.col("s") / F.col("n")).alias("s")))
+    q = bow.unit_rows(bow.term_counts(TP.doc_terms_12(queries, "query_id", "text"))).withColumnRenamed("doc_id", "query_id")
+    return (q.join(mean, "term").groupBy("query_id", "topic")
+            .agg(F.round(F.sum(F.col("u") * F.col("s")), 9).alias("sim")))
+
+
+def member_similarity(p, queries):
+    """(query_id, sim_topic, sim): the topic with the highest similarity, the lowest id on ties."""
+    best = F.max_by(F.struct("topic", "sim"), F.struct(F.col("sim"), -F.col("topic"))).alias("b")
+    return topic_similarity(p, queries).groupBy("query_id").agg(best).select(
+        "query_id", F.col("b.topic").alias("sim_topic"), F.col("b.sim").alias("sim"))
 
 
 @register("predict_topic", PREDICT_SQL + """
-SELECT p.query_id, p.method,
-       CAST(CASE WHEN method = 'keyword' THEN best_topic WHEN method = 'cohort' THEN (SELECT ct FROM cm) ELSE -1 END AS INTEGER) AS topic,
-       round(CASE WHEN method = 'keyword' THEN best_score WHEN method = 'cohort' THEN 0.5 ELSE 0.0 END, 6) AS score
-FROM pred p""")
+SELECT query_id, method, CAST(topic AS INTEGER) AS topic, round(score, 6) AS score FROM chosen""")
 def predict_topic(spark, sf_dir):
-    """V38 + J3 on a table of queries (benchmark items): keyword score over the
+    """V38 + J3 + V39 on a table of queries (benchmark items): keyword score over the
     topic words; if the best is 0, the signal-word cohort's modal topic with
-    score 0.5; otherwise the embedding fallback is needed (query vectors are
-    required: see fallback_topic), reported as method 'similarity'."""
-    d = predict_df(spark, sf_dir)
-    m = F.col("method")
-    return d.select("query_id", "method",
-                    F.when(m == "keyword", F.col("best_topic")).when(m == "cohort", F.col("cohort_topic"))
-                    .otherwise(-1).cast("int").alias("topic"),
-                    F.round(F.when(m == "keyword", F.col("best_score")).when(m == "cohort", 0.5)
-                            .otherwise(0.0), 6).alias("score"))
+    score 0.5; otherwise the topic whose members are most similar."""
+    return predict_df(spark, sf_dir).select("query_id", "method", "topic", F.round("score", 6).alias("score"))
 
 
 @register("predict_gate", PREDICT_SQL + labels_sql(SEMANTIC_RULES) + f""",
-r AS (SELECT p.query_id, CASE WHEN method = 'keyword' THEN best_topic WHEN method = 'cohort' THEN (SELECT ct FROM cm) ELSE -1 END AS topic,
-             CASE WHEN method = 'keyword' THEN best_score WHEN method = 'cohort' THEN 0.5 ELSE 0.0 END AS score FROM pred p)
+r AS (SELECT query_id, topic, score FROM chosen)
 SELECT r.query_id, CAST(CASE WHEN score < {LOW_CONFIDENCE_GATE} THEN -1 ELSE r.topic END AS INTEGER) AS topic,
        CASE WHEN score < {LOW_CONFIDENCE_GATE} THEN 'No Matching Topic Found'
             ELSE coalesce(l.label, 'Topic ' || CAST(r.topic AS VARCHAR)) END AS label,
@@ -367,12 +409,7 @@ FROM r LEFT JOIN labs l ON l.topic = r.topic""")
 def predict_gate(spark, sf_dir):
     """P10 + T17: the low-confidence gate (score < 0.15 -> -1, "No Matching
     Topic Found", UNCERTAIN, probability 0) and the confidence text."""
-    d = predict_df(spark, sf_dir)
-    m = F.col("method")
-    d = d.select("query_id",
-                 F.when(m == "keyword", F.col("best_topic")).when(m == "cohort", F.col("cohort_topic"))
-                 .otherwise(-1).alias("topic"),
-                 F.when(m == "keyword", F.col("best_score")).when(m == "cohort", 0.5).otherwise(0.0).alias("score"))
+    d = predict_df(spark, sf_dir).select("query_id", "topic", "score")
     labs = TP.topic_labels(pipeline(spark, sf_dir)["words"]).select("topic", "label")
     j = d.join(F.broadcast(labs), "topic", "left")
     gate = F.col("score") < LOW_CONFIDENCE_GATE

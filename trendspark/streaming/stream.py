@@ -84,6 +84,9 @@ def merge_counts_batch(root: str, key_cols: list[str]):
             agg = cur.unionByName(agg).groupBy(*key_cols).agg(F.sum("n").alias("n"))
         (agg.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(root))
+        # A retry of this batch reads the epoch before it; older states are of no use.
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/epoch={epoch_id - 2}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return fn
 
