@@ -18,3 +18,12 @@ def test_keys_are_graphs_of_their_own(spark):
     found = {(r["level"], r["node"]): r["comp"] for r in keyed_components(nodes, edges, ["level"]).collect()}
     assert [found[0, n] for n in range(6)] == [0, 0, 0, 3, 4, 5]
     assert [found[1, n] for n in range(6)] == [0, 1, 2, 3, 3, 3]
+
+
+def test_topics_merge_by_recomputed_means(spark):
+    from trendspark.operators.cluster import merge_topics
+
+    means = spark.createDataFrame([(0, [1.0, 0.0, 0.0], 10), (1, [0.99, 0.1, 0.0], 20), (2, [0.0, 1.0, 0.0], 5),
+                                   (3, [0.0, 0.0, 1.0], 5), (4, [0.5, 0.7, 0.0], 1)], "topic int, mean array<double>, n long")
+    assert merge_topics(means, 4) == {0: 1, 1: 1, 2: 2, 3: 3, 4: 2}  # three topics and the outliers
+    assert len(set(merge_topics(means, 2, with_outliers=False).values())) == 2

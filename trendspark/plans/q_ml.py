@@ -52,16 +52,10 @@ def lda_weighted(spark, sf_dir):
     mm = a.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
     w = a.crossJoin(F.broadcast(mm)).select(
         "doc_id", D.temporal_weight(F.datediff("date", "d0"), F.datediff("d1", "d0")).alias("w"))
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def scaled(v, k):
-        # keeps the count vector sparse (a dense 5,000-wide vector per document
-        # makes the LDA fit ~10x slower); one call per document, not per term
-        sv = v.toSparse() if hasattr(v, "toSparse") else v
-        return SparseVector(sv.size, sv.indices, sv.values * float(k))
-
-    wf = feats.join(w, "doc_id").select("doc_id", scaled("features", "w").alias("features"))
+    from pyspark.ml.feature import Interaction
+    # the product of a number and a vector, in the JVM and sparse
+    wf = (Interaction(inputCols=["w", "features"], outputCol="scaled").transform(feats.join(w, "doc_id"))
+          .select("doc_id", F.col("scaled").alias("features")))
     wf = cut_lineage(wf)
     plain = ml.lda_assign(ml.lda_fit(feats, LDA_K, LDA_ITER), feats, LDA_K).agg(F.avg("confidence").alias("p"))
     weighted = ml.lda_assign(ml.lda_fit(wf, LDA_K, LDA_ITER), wf, LDA_K).agg(F.avg("confidence").alias("wgt"))
@@ -133,8 +127,7 @@ def topic_merge(spark, sf_dir):
     (the K x K table is the only driver-side data); the map is broadcast back."""
     from trendspark.plans.q_vectors import tdv
     d = tdv(spark, sf_dir)
-    cent = vecops.centroids(d.where(F.col("topic") != -1), "topic", "v")
-    mp = cluster.merge_topics(cent, 5)
+    mp = cluster.merge_topics(vecops.mean_vectors(d.where(F.col("topic") != -1), "topic", "v"), 5)
     m = spark.createDataFrame(list(mp.items()), "topic int, merged_topic int")
     return d.select("doc_id", "topic").join(F.broadcast(m), "topic", "left").select(
         "doc_id", "topic", F.coalesce("merged_topic", F.col("topic")).alias("merged_topic"))
