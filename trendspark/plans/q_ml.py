@@ -195,7 +195,22 @@ def _word_vectors(spark, sf_dir, words):
     return p, wv.select("term", F.col("mean").alias("wv"))
 
 
-@register("word_rerank")
+def _rerank_sql() -> str:
+    from trendspark.plans.q_topics import BASE_SQL
+    from trendspark.plans.q_vectors import _dot_sql, _mean_sql, _unit_sql
+    tdv = "tdv AS (SELECT doc_id, topic, CAST(embedding AS DOUBLE[]) AS v FROM topic_docs WHERE embedding IS NOT NULL)"
+    return BASE_SQL + ",\n" + tdv + ",\n" + _mean_sql("(SELECT * FROM tdv WHERE topic <> -1)", "topic", "v", "cm") + f""",
+cent AS (SELECT topic, {_unit_sql('mean')} AS c FROM cm),
+occ AS (SELECT DISTINCT t.doc_id, t.term FROM dterms t WHERE t.term IN (SELECT term FROM words)),
+ou AS (SELECT o.term, {_unit_sql('tdv.v')} AS u FROM occ o JOIN tdv ON tdv.doc_id = o.doc_id),
+""" + _mean_sql("ou", "term", "u", "wv") + f""",
+ws AS (SELECT w.topic, w.term, w.rank AS ctfidf_rank, {_dot_sql(_unit_sql('wv.mean'), 'cent.c')} AS sim
+       FROM words w JOIN wv ON wv.term = w.term JOIN cent ON cent.topic = w.topic)
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY sim DESC, term) AS INTEGER) AS rank, term,
+       CAST(ctfidf_rank AS INTEGER) AS ctfidf_rank, round(sim, 6) AS sim FROM ws"""
+
+
+@register("word_rerank", _rerank_sql())
 def word_rerank(spark, sf_dir):
     """Each topic's top 10 c-TF-IDF words re-ranked by the cosine of the
     word vector (mean embedding of the documents holding it) to the topic
