@@ -49,3 +49,17 @@ def test_a_broken_stream_state_raises(spark, tmp_path):
     assert _latest_state(spark, str(tmp_path / "none"), 5) is None
     with pytest.raises(Exception):
         _latest_state(spark, str(tmp_path / "state"), 5)
+
+
+def test_sparse_svd_equals_numpy(spark):
+    import numpy as np
+
+    from trendspark.operators.ml import sparse_svd
+
+    rng = np.random.default_rng(1)
+    a = (rng.normal(size=(40, 3)) @ rng.normal(size=(3, 30))) + 0.01 * rng.normal(size=(40, 30))
+    u = spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(40) for j in range(30)], "doc_id long, term string, u double")
+    got = np.array([r["reduced"] for r in sparse_svd(u, 3).orderBy("doc_id").collect()])
+    s = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(np.linalg.norm(got, axis=0), s[:3], rtol=1e-3)
+    assert np.allclose(got @ got.T, a @ a.T, atol=0.05 * s[0])

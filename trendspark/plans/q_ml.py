@@ -244,9 +244,10 @@ def mmr_words(spark, sf_dir):
 @register("ablation")
 def ablation(spark, sf_dir):
     """Cross-cohort cosine and separation gap per representation
-    (embedding, embedding reduced by SVD, bag-of-words) with the peak
+    (embedding, embedding and bag-of-words reduced by SVD, bag-of-words) with the peak
     growth year of the largest topic computed by W4 (not a constant)."""
     from trendspark.plans.q_quality import group_separation
+    from trendspark.plans.q_bow import vocab_for
     from trendspark.plans.q_vectors import cohorts, tdv
     base = group_separation(spark, sf_dir).where(F.col("representation") != "time_augmented")
     c = cohorts(spark, sf_dir)
@@ -254,6 +255,12 @@ def ablation(spark, sf_dir):
     svd = vecops.vector_separation(proj, "grp", "reduced").select(
         F.lit("embedding_svd16").alias("representation"), F.col("n_a").cast("long"), F.col("n_b").cast("long"),
         *[F.round(x, 6).alias(x) for x in ("intra_a", "intra_b", "cross", "gap")])
+    _, tc, v = vocab_for(spark, sf_dir)
+    unit = bow.unit_rows(tc.join(F.broadcast(v.select("term")), "term", "left_semi"))
+    reduced = ml.sparse_svd(unit, 16).join(c.select("doc_id", "grp"), "doc_id")
+    svd = svd.unionByName(vecops.vector_separation(reduced, "grp", "reduced").select(
+        F.lit("bow_svd16").alias("representation"), F.col("n_a").cast("long"), F.col("n_b").cast("long"),
+        *[F.round(x, 6).alias(x) for x in ("intra_a", "intra_b", "cross", "gap")]))
     d = tdv(spark, sf_dir).where(F.col("topic") != -1)
     big = d.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(1)
     yc = d.join(F.broadcast(big.select("topic")), "topic").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
