@@ -15,6 +15,9 @@ as offset, so a frequent length is never gathered.
 
 from __future__ import annotations
 
+import base64
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,67 +31,76 @@ from pyspark.sql import types as T
 
 from trendspark.session import cut_lineage
 
-TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 400_000  # of a task's word cache, about 60 MB
-BATCH_CHARS = 2_000_000  # text that is split into words at a time
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+CACHED_WORDS = 600_000  # of a task's word cache, about 130 MB
+BATCH_CHARS = 2_000_000  # text whose ids are held at a time
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def tokenizer_paths() -> tuple[str, str]:
+    """The tokenizer's file and the same vocabulary as ranks."""
     import public_tokenizers
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
+
+
+class Words(dict):
+    """Ids of the parts of a text; a new part is encoded when it is first asked for, and all
+    are forgotten when there are too many. A part stands for a space and itself; it is taken
+    as it is if it starts with a line feed, and without its mark if that is a NUL."""
+
+    def __init__(self, ranks_path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                          special_tokens={}).encode_ordinary
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        ids = self.ordinary(part[1:] if part[0] == "\0" else part if part[0] == "\n" else " " + part)
+        self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins two words over a single space or line feed, so a text
-    whose only white space is of that kind is encoded word by word, each distinct
-    word once (``words`` keeps them, cleared when it is full). Other texts, and
-    texts in which a special token may occur, are encoded as a whole.
+    whose only white space is of that kind is encoded word by word from the
+    vocabulary's ranks, most words from ``Words``. Any other text, and one in which
+    a special token may occur, goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, paths: tuple[str, str]):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|<\|").search
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t or self.odd(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        words = self.words
-        # A part stands for a space and itself; the text's first word, without the space, is marked by a NUL.
-        parts = {i: ("\0" + t.replace("\n", " \n")).split(" ") for i, t in enumerate(texts) if out[i] is None}
-        new = list({p for ps in parts.values() for p in ps if p not in words})
-        if new:
-            plain = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in new]
-            words.update(zip(new, self.whole(plain)))
-        for i, ps in parts.items():
-            out[i] = b"".join(map(words.__getitem__, ps))
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        return out
+        self.tokenizer = Tokenizer.from_file(paths[0])
+        self.words = Words(paths[1])
+        self.other_blank = re.compile(r"[^\S \n]").search
+
+    def odd(self, text: str) -> bool:
+        return (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+                or "\n\n" in text or "<|" in text or "\0" in text or self.other_blank(text) is not None)
+
+    def encode(self, text: str) -> bytes:
+        if self.odd(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, ("\0" + text.replace("\n", " \n")).split(" ")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(paths: tuple[str, str]) -> Encoder:
     """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if paths not in _ENCODERS:
+        _ENCODERS[paths] = Encoder(paths)
+    return _ENCODERS[paths]
 
 
 def slices(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -104,7 +116,7 @@ def slices(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[tuple[int, in
 
 
 def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1024, end_id: int = 0,
-               path: str | None = None, with_ids: bool = False) -> DataFrame:
+               paths: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``most`` ids: the identifier, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``ids`` (with ``with_ids``), and for ``pack`` ``task`` and ``nth``
     (number among the task's pieces of that length).
@@ -123,13 +135,13 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, dtype=np.int64)
-        enc = encoder(path or tokenizer_path())
+        encode = encoder(paths or tokenizer_paths()).encode
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
                 row, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
-                for i, own in enumerate(enc.encode(texts[lo:hi]), lo):
-                    own += end
+                for i in range(lo, hi):
+                    own = encode(texts[i]) + end
                     n = len(own) // 4
                     for s in range(0, n, most):
                         piece = own[4 * s:4 * (s + most)]
