@@ -46,21 +46,28 @@ def get_spark(master: str | None = None, app: str = "trendspark",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The application's own sub-folder of the shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a fresh scratch folder is created and registered.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in local mode
+    may it be unset; a fresh scratch folder is then created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="trendspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="trendspark-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", d)
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables written by ``cut_lineage`` so far; for the end of a job, when no
+    result that reads them is left to compute."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
