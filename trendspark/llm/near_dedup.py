@@ -16,10 +16,14 @@ signature and those that may reach the threshold are verified on their texts.
 1. Texts of equal words collapse to one node, so copies never meet each other.
 2. Each node is compared with the smallest node of its buckets (linear work);
    the verified links give components.
-3. In a bucket that still holds several components any two nodes of different
-   components are compared, in blocks of a bounded size, so that no link between
-   bucket mates is left out and a large group, one component by now, costs
-   nothing here.
+3. In a bucket that still holds several components the members outside its
+   largest component are compared with all other members, in blocks of a bounded
+   size. Only members that have a candidate go on, each once per block, to be
+   verified there, until they are linked: a large group is one component by now
+   and its members never meet each other.
+
+Texts to verify are fetched by a join; a bitmap of 2^26 hashed names, 8 MB at any
+size, keeps most other texts out of its shuffle.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ BANDS, ROWS = 30, 6  # a pair at 0.8 shares a bucket with probability 0.9999
 SLOTS = BANDS * ROWS
 #: Estimates below are not verified: 5 standard errors (0.03) under the threshold.
 ESTIMATE = 0.65
-BLOCK = 256
+BLOCK = 1024  # members of a bucket that one task compares with as many others
+BITMAP = 1 << 26
 CACHED_WORDS = 400_000
 BATCH_WORDS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +76,19 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / total if total else 1.0
 
 
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """``similarity`` of two multisets as sorted shingle hashes with weights."""
+    if len(b[0]) < len(a[0]):
+        a, b = b, a
+    total = int(a[1].sum() + b[1].sum())
+    if not len(a[0]):
+        return float(not total)
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = b[0][at] == a[0]
+    shared = int(np.minimum(a[1][both], b[1][at[both]]).sum())
+    return shared / (total - shared)
+
+
 def node_of(words: list[str]) -> int:
     """64-bit name of a sequence of words."""
     return int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
@@ -164,7 +182,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text_key``, ``node``, ``bands`` (empty for a text without words) and ``sig`` (a byte per slot)."""
+    """``id``, ``text_key``, ``node``, ``size`` (shingles), ``bands`` (a key per band; empty for a
+    text without words) and ``sig`` (a byte per slot)."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(F.col(text_col))).alias("text_key"),
                       F.col(text_col).cast("string").alias("text"))
 
@@ -185,11 +204,12 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keys, short = band_keys(signature), (signature & _U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, at - lo), batch.column(1).slice(lo, at - lo), pa.array(nodes, pa.int64()),
+                    pa.array([int(w.sum()) for _, w in sets], pa.int64()),
                     pa.array([k if len(s[0]) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in short], pa.binary())], names=names)
 
-    names = ["id", "text_key", "node", "bands", "sig"]
-    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, text_key long, node long, "
+    names = ["id", "text_key", "node", "size", "bands", "sig"]
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, text_key long, node long, size long, "
                                "bands array<long>, sig binary")
 
 
@@ -213,66 +233,179 @@ def likely(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose estimate reaches ESTIMATE, from rows
-    (cell, side, node, comp, sig). A cell holds two blocks of a bucket (sides 0 and
-    1) or one (side 2, each with each)."""
-    def pairs(cell: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        side, node, comp = (np.array([r[i] for r in cell]) for i in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in cell), dtype=np.uint8).reshape(len(cell), SLOTS)
-        one = side == 2
-        left, right = (np.arange(len(cell)),) * 2 if one.all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        i, j = np.nonzero(comp[left][:, None] != comp[right][None, :])
-        i, j = left[i], right[j]
-        i, j = (i[node[i] < node[j]], j[node[i] < node[j]]) if one.all() else (i, j)
-        found = [np.zeros(0, dtype=np.int64)]
-        for at in range(0, len(i), 65_536):
-            a, b = i[at:at + 65_536], j[at:at + 65_536]
-            found.append(at + np.flatnonzero(_estimate((sig[a] == sig[b]).mean(axis=1)) >= ESTIMATE))
-        found = np.concatenate(found)
-        return np.minimum(node[i[found]], node[j[found]]), np.maximum(node[i[found]], node[j[found]])
+def bucket_cells(mates: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (cell, band, side, node, comp) of the buckets with several components. In each, the
+    members outside the largest component (others) meet its members (cells with sides 0
+    and 1) and each other (sides 0 and 1, or 2 in a block's own cell)."""
+    own = mates.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("comp"))
+    own = cut_lineage(own, "mates-by-component")
+    parts = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    parts = parts.where(F.col("n") > F.col("main.n")).select(
+        "bucket", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others"))
+    own = own.join(parts, "bucket").withColumn("in_main", F.col("comp") == F.col("main"))
+    own = own.withColumn("block", F.pmod(F.hash("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))))
+
+    def meet(count: str):
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    def spot(kind: int, x, y, side):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+
+    block = F.col("block")
+    main = F.transform(meet("others"), lambda o: spot(0, block, o, F.lit(0)))
+    other = F.concat(
+        F.transform(meet("mains"), lambda m: spot(0, m, block, F.lit(1))),
+        F.transform(meet("others"), lambda o: spot(1, F.least(block, o), F.greatest(block, o), F.when(o == block, 2).when(
+            block < o, 0).otherwise(1))))
+    own = own.select("bucket", "band", "node", "comp", F.explode(F.when(F.col("in_main"), main).otherwise(other)).alias("s"))
+    return own.select(F.xxhash64("bucket", "s.kind", "s.x", "s.y").alias("cell"), "band", "s.side", "node", "comp")
+
+
+class Cell:
+    """The members of one cell, as arrays; ``candidates`` are the pairs of different components
+    that may reach the threshold and share no earlier band, whose cell has them."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.band, side = rows[0][1], np.array([r[2] for r in rows])
+        self.node, self.comp, self.size = (np.array([r[i] for r in rows]) for i in (3, 4, 5))
+        self.sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8).reshape(len(rows), SLOTS)
+        self.bands = np.array([r[7] for r in rows], dtype=np.int64)
+        self.alone = bool((side == 2).all())
+        self.left, self.right = (np.arange(len(rows)),) * 2 if self.alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+        for lo in range(0, len(self.left), 64):  # 64 rows x 1,024 bounds what is held
+            i, j = np.nonzero(self.comp[self.left[lo:lo + 64]][:, None] != self.comp[self.right][None, :])
+            i, j = self.left[lo:lo + 64][i], self.right[j]
+            near = np.minimum(self.size[i], self.size[j]) >= THRESHOLD * np.maximum(self.size[i], self.size[j])
+            if self.alone:
+                near &= self.node[i] < self.node[j]
+            i, j = i[near], j[near]
+            estimate = _estimate((self.sig[i] == self.sig[j]).mean(axis=1))
+            near = estimate >= ESTIMATE
+            i, j, estimate = i[near], j[near], estimate[near]
+            new = ~(self.bands[i, :self.band] == self.bands[j, :self.band]).any(axis=1)
+            found.append((i[new], j[new], estimate[new]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each cell of a sorted partition."""
+    cell: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if cell and row[0] != cell[0][0]:
+                yield cell
+                cell = []
+            cell.append(row)
+    if cell:
+        yield cell
+
+
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole-number rows as batches of a few thousand."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= 8192:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+
+
+_CELL = ("cell", "band", "side", "node", "comp")
+
+
+def with_candidates(cells: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of ``bucket_cells`` whose node has a candidate in their cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for rows in _cells(batches):
+                i, j, _ = Cell(rows).candidates()
+                for k in np.union1d(i, j):
+                    yield rows[k][:5]
+
+        yield from _batches(found(), list(_CELL))
+
+    rows = cells.join(sigs.select("node", "size", "sig", "bands"), "node").select(*_CELL, "size", "sig", "bands")
+    return (rows.repartition("cell").sortWithinPartitions("cell")
+            .mapInArrow(run, ", ".join(f"{c} long" for c in _CELL)))
+
 
+def links_in_cells(rows: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Verified pairs (a, b) that connect the components in each cell of ``with_candidates``:
+    candidates are tried from the highest estimate, and not if already connected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if cell and row[0] != cell[0][0]:
-                    out.append(pairs(cell))
-                    cell = []
-                cell.append(row)
-            yield from as_batch(out)
-        yield from as_batch([pairs(cell)] if cell else [])
-
-    def as_batch(out: list) -> Iterator[pa.RecordBatch]:
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return (rows.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "node", "comp", "sig")
-            .mapInArrow(run, "a long, b long").distinct())
-
-
-def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' weighted Jaccard reaches THRESHOLD.
-    ``named``: (node, id, text_key) of one row of each node."""
-    pairs = cut_lineage(pairs, "candidates")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = cut_lineage(named.join(need, "node"), "needed-texts")
+        signer = Signer()
+
+        def found() -> Iterator[tuple]:
+            for rows in _cells(batches):
+                cell, sets, root = Cell(rows), {}, {}
+
+                def of(k: int):
+                    if k not in sets:
+                        sets[k] = signer.shingle_weights(words_of(rows[k][8]))
+                    return sets[k]
+
+                def top(x: int) -> int:
+                    while x in root:
+                        x = root[x]
+                    return x
+
+                i, j, estimate = cell.candidates()
+                for k in np.argsort(-estimate, kind="stable"):
+                    a, b = int(i[k]), int(j[k])
+                    x, y = top(rows[a][4]), top(rows[b][4])
+                    if x != y and overlap(of(a), of(b)) >= THRESHOLD:
+                        root[max(x, y)] = min(x, y)
+                        yield rows[a][3], rows[b][3]
+
+        yield from _batches(found(), ["a", "b"])
+
+    rows = cut_lineage(rows, "cells")
+    texts = texts_of(rows.select("node").distinct(), sigs, docs, id_col, text_col)
+    full = (rows.join(sigs.select("node", "size", "sig", "bands"), "node").join(texts, "node")
+            .select(*_CELL, "size", "sig", "bands", "text"))
+    return cut_lineage(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"), "cell-links")
+
+
+def texts_of(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) for the distinct ``nodes``; ``sigs`` has the identifier and text key of a row of each."""
+    need = cut_lineage(sigs.select("node", "id", "text_key").join(nodes, "node"), "needed-texts")
+    place = F.pmod(F.col("text_key"), F.lit(BITMAP))
+    bits = need.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))  # at most 2,049 rows of 4 KB
     text = text_or_empty(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("d_key"), text.alias("text"))
-    texts = cut_lineage(texts.join(need, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("text_key")))
-                        .dropDuplicates(["node"]).select("node", "text"), "texts")
+    own = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    own = (own.withColumn("bit", F.bitmap_bit_position(place))
+           .join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"))
+           .where(F.expr("shiftright({}, cast(bit % 8 as int)) & 1 = 1".format(
+               "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")))
+           .select("d_id", F.col("text_key").alias("d_key"), "text"))
+    found = own.join(need, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("text_key")))
+    return cut_lineage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
+
+
+def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' weighted Jaccard reaches THRESHOLD."""
+    pairs = cut_lineage(pairs, "candidates")
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), sigs, docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = lru_cache(maxsize=64)(lambda text: shingles(words_of(text)))
+        signer = Signer()
+        sets = lru_cache(maxsize=16)(lambda text: signer.shingle_weights(words_of(text)))
         for batch in batches:
-            ok = [similarity(counted(x), counted(y)) >= THRESHOLD
+            ok = [overlap(sets(x), sets(y)) >= THRESHOLD
                   for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-              .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
+    joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+              .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
     return cut_lineage(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -287,31 +420,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result. Other columns are not read.
     """
     rows = cut_lineage(signed(docs, id_col, text_col), "signed")
-    sigs = rows.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("first"), F.first("bands").alias("bands"),
-                                    F.first("sig").alias("sig"))
-    sigs = cut_lineage(sigs.select("node", "first.id", "first.text_key", "bands", "sig"), "nodes")
-    named, sig = sigs.select("node", "id", "text_key"), sigs.select("node", "sig")
-    placed = sigs.select("node", F.explode("bands").alias("bucket"))
-    shared = (placed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"),
-                                           F.count(F.lit(1)).alias("n")).where(F.col("lead") < F.col("last")))
-    mates = cut_lineage(placed.join(shared.select("bucket", "lead", "n"), "bucket"), "bucket-mates")
+    sigs = rows.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("first"), F.first("size").alias("size"),
+                                    F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    sigs = cut_lineage(sigs.select("node", "first.id", "first.text_key", "size", "bands", "sig"), "nodes")
+    placed = sigs.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = (placed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+              .where(F.col("lead") < F.col("last")))
+    mates = cut_lineage(placed.join(shared.select("bucket", "lead"), "bucket"), "bucket-mates")
     star = mates.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    sig = sigs.select("node", "sig")
     star = (star.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
             .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a"))
-    labels = components(verified(likely(star), docs, named, id_col, text_col))
-
-    own = mates.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    mixed = (own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where(F.col("lo") < F.col("hi")).select("bucket"))
-    # Each block of a bucket meets itself and every other one.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = (own.join(mixed, "bucket").join(sig, "node").withColumn("blocks", blocks)
-           .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    cell = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rest = block_pairs(own.select(cell.alias("cell"), side.alias("side"), "node", "comp", "sig"))
-    labels = components(verified(rest, docs, named, id_col, text_col), labels)
+    labels = components(verified(likely(star), sigs, docs, id_col, text_col))
+    rest = with_candidates(bucket_cells(mates, labels), sigs)
+    labels = components(links_in_cells(rest, sigs, docs, id_col, text_col), labels)
 
     member = rows.select("id", "text_key", "node").join(labels, "node", "left").select(
         "id", "text_key", F.coalesce("label", "node").alias("class"))
