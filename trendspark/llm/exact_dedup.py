@@ -1,8 +1,9 @@
 """Exact deduplication by a content sort.
 
 Every row's normalised text (ASCII white space deleted) is range-partitioned on
-sampled splitters and sorted externally, so that equal texts lie next to each
-other; a window over the text then compares each text in full with its
+sampled splitters (its first bytes, then a hash of all of it, so that a common
+beginning splits and the splitters stay small) and sorted externally, so that
+equal texts lie next to each other; a window over the text then compares each text in full with its
 neighbour and closes a run where they differ. Of a run the row with the most
 code points in the original text, then the smallest identifier, stays.
 
@@ -25,6 +26,9 @@ from trendspark.llm.common import BLANKS, partitions, text_or_empty
 from trendspark.session import cut_lineage
 
 
+LEAD = 64  # characters of a text in a splitter; comparisons take all
+
+
 def normalised(text: Column) -> Column:
     return F.translate(text_or_empty(text), BLANKS, "")
 
@@ -55,20 +59,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .withColumn("salt", F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts")))
                           .otherwise(F.lit(0)).cast("int"))
               .select("row", "id", "norm", "chars", "salt", F.col("h").isNotNull().alias("hot")))
-    run = (Window.partitionBy("norm", "salt").orderBy(F.desc("chars"), F.asc_nulls_last("id")))
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    salted = salted.withColumn("lead", F.substring("norm", 1, LEAD)).withColumn("whole", F.xxhash64("norm"))
+    run = (Window.partitionBy("lead", "whole", "norm", "salt").orderBy(F.desc("chars"), F.asc_nulls_last("id")))
+    all_ = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.row_number().over(run) == 1
-    runs = (salted.repartitionByRange("norm", "salt")
+    runs = (salted.repartitionByRange("lead", "whole", "salt")
             .select("row", "id", "salt", "norm", "hot", "chars",
-                    F.first("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"),
+                    F.first("id").over(all_).alias("best"), F.count(F.lit(1)).over(all_).alias("n"),
                     first.alias("first"))
             .select("row", "id", "salt", "best", "n", "first", "chars", F.sha2("norm", 256).alias("sha"),
                     F.when(F.col("hot") & F.col("first"), F.col("norm")).alias("hot_text")))
     runs = cut_lineage(runs, "content-runs")
-    joint = Window.partitionBy("hot_text").orderBy(F.desc("chars"), F.asc_nulls_last("id"), F.asc("salt"))
+    joint = Window.partitionBy("lead", "whole", "hot_text").orderBy(F.desc("chars"), F.asc_nulls_last("id"), F.asc("salt"))
     joint = joint.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     merged = (runs.where(F.col("hot_text").isNotNull()).select("hot_text", "id", "salt", "n", "chars", "sha")
-              .repartitionByRange("hot_text")
+              .withColumn("lead", F.substring("hot_text", 1, LEAD)).withColumn("whole", F.xxhash64("hot_text"))
+              .repartitionByRange("lead", "whole")
               .select(F.col("sha").alias("m_sha"), F.col("salt").alias("m_salt"),
                       F.first("id").over(joint).alias("m_best"), F.sum("n").over(joint).alias("m_n"),
                       F.first("salt").over(joint).alias("m_first")))
