@@ -11,7 +11,7 @@ lowest ranks taken until f * S words are reached: the size that is fixed is
 counted in words. Where the next text is too long for what is missing, the next
 ranks that fit fill it.
 
-The order is never sorted as a whole. Ranks fall into 65,536 buckets a source;
+The order is never sorted as a whole. Ranks fall into 8,192 buckets a source;
 sums by bucket (combined before the shuffle) find the bucket in which the sample
 ends, and only that bucket is ordered, for the cut's rank.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trendspark.llm.common import text_or_empty, word_count
 from trendspark.session import cut_lineage
 
-BUCKETS = 65_536
+BUCKETS = 8_192
 _X = 10_000  # x in whole ten-thousandths, so that its sums don't depend on their order
 
 
