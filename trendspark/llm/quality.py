@@ -91,6 +91,10 @@ def sketches(rows: DataFrame) -> DataFrame:
         F.kll_sketch_agg_double(F.expr(value), F.lit(SKETCH_K)).alias(name) for name, (value, *_) in MEASURES.items()])
 
 
+def base_fails():
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def _merged(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m)
                                                              for m in MEASURES])
@@ -118,17 +122,22 @@ def thresholds(table: DataFrame, reach: float = 3.0, enough: int = 100) -> DataF
         .otherwise(F.col(f"w_{c}")).alias(c) for m in MEASURES for c in (f"hi_{m}", f"lo_{m}")])
 
 
-def judge(rows: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` to the rows of ``measured`` (read twice, so written).
+def fences_of(rows: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
+    """``thresholds`` from those rows of ``measured`` that pass the base."""
+    table = cut_lineage(sketches(rows.where(~base_fails())), "sketches")
+    return cut_lineage(thresholds(table, reach, enough), "fences")
+
+
+def judge(rows: DataFrame, fences: DataFrame | None = None) -> DataFrame:
+    """Adds ``base_failed`` and ``kept`` to the rows of ``measured``; without ``fences``
+    they are read twice.
 
     Base: fewer than 10 words, or more than a fifth of the words repeated. Rows
     of a null language or source form groups of their own. The fences rest on
     documents that pass the base. An empty table gives an empty result.
     """
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", base_failed)
-    fences = cut_lineage(thresholds(cut_lineage(sketches(rows.where(~F.col("base_failed"))), "sketches"), reach, enough),
-                         "fences")
+    fences = fences_of(rows) if fences is None else fences
+    rows = rows.withColumn("base_failed", base_fails())
     fences = fences.withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source")
     inside = F.lit(True)
     for m, (value, _, noise, _) in MEASURES.items():
@@ -140,5 +149,7 @@ def judge(rows: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
-    return judge(cut_lineage(measured(docs), "measured")).where("kept").select("row.*")
+    """The documents that pass, with the columns of ``docs``. Texts are measured twice, for
+    the fences and for the verdicts, rather than written once more."""
+    counts = cut_lineage(measured(docs, carry=["lang"]).drop("row"), "measured")
+    return judge(measured(docs), fences_of(counts)).where("kept").select("row.*")
