@@ -50,8 +50,8 @@ SLOTS = BANDS * ROWS
 ESTIMATE = 0.65
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 BITMAP = 1 << 26
-CACHED_WORDS = 400_000
-BATCH_WORDS = 500_000
+CACHED_WORDS = 250_000
+BATCH_WORDS = 250_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 
