@@ -256,6 +256,18 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_short_notices_alone(spark):
+    texts = {"All rights reserved.": "proprietary", "all RIGHTS\nreserved": "proprietary",
+             "All rights reserved. " * 9: "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+             "Licensed under CC BY-SA 3.0.": "cc-by,cc-by-sa", "Licensed under CC BY-ND.": "cc-by,cc-by-nd",
+             "Licensed under the Mozilla Public License.": "mpl", "Under the BSD 3-Clause License": "bsd",
+             "All rights": "", "all the rights reserved": "", "CC NC": ""}
+    data = spark.createDataFrame([(i, f"on the {t} she said") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(data).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert (got[i]["labels"], got[i]["score"]) == (want, float(want != "")), t
+
+
 # ---------------------------------------------------------------- urls
 
 def test_urls(spark):

@@ -51,6 +51,16 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in "
                     "any form or by any means"),
+    # Short notices; three words are one k-gram.
+    ("proprietary", "All rights reserved."),
+    ("cc-by-sa", "CC BY-SA"),
+    ("cc-by-nc", "CC BY-NC"),
+    ("cc-by-nd", "CC BY-ND"),
+    ("cc-by-nc-sa", "CC BY-NC-SA"),
+    ("cc-by-nc-nd", "CC BY-NC-ND"),
+    ("mpl", "Mozilla Public License"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
 )
 
 
@@ -75,7 +85,8 @@ def grams(rows: DataFrame, words: Column, keep: list[str], k: int = K) -> DataFr
 def template_grams(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)],
                                  "template int, label string, body string")
-    return grams(rows, words_of(F.col("body")), ["template", "label"], k).withColumnRenamed("at", "t_at")
+    table = grams(rows, words_of(F.col("body")), ["template", "label"], k).withColumnRenamed("at", "t_at")
+    return table.withColumn("t_grams", F.count(F.lit(1)).over(Window.partitionBy("template")))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -93,27 +104,28 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``first_word``, ``last_word`` (start of the last k-gram), ``covered`` (share of
     the template's k-grams found).
 
-    ``gap``: how far two neighbouring diagonals with votes may be apart to merge.
+    ``gap``: how far two neighbouring diagonals with votes may be apart to merge; less
+    than a template's k-grams, so that a short notice stays apart from its repetitions.
     """
     spark = docs.sparkSession
     table = template_grams(spark, templates, k)
-    total = table.groupBy("template").agg(F.count(F.lit(1)).alias("t_grams"))
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(F.col(text_col))).alias("key"),
                        F.col(text_col).alias("body"))
     hits = (grams(text, words_of(F.col("body")), ["id", "key"], k)
             .join(F.broadcast(table), "gram")
-            .select("id", "key", "label", "template", "at", "t_at"))
+            .select("id", "key", "label", "template", "t_grams", "at", "t_at"))
     # Votes by diagonal; a k-gram of the template that repeats on it counts once.
-    votes = hits.groupBy("id", "key", "label", "template", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
+    votes = hits.groupBy("id", "key", "label", "template", "t_grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.collect_set("t_at").alias("t_ats"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     by = Window.partitionBy("id", "key", "template").orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap), F.lit(True)).cast("int")
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > F.least(F.lit(gap), F.col("t_grams") - 1)),
+                     F.lit(True)).cast("int")
     merged = (votes.withColumn("new", new)
               .withColumn("band", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .groupBy("id", "key", "label", "template", "band")
+              .groupBy("id", "key", "label", "template", "t_grams", "band")
               .agg(F.size(F.array_distinct(F.flatten(F.collect_list("t_ats")))).alias("found"),
                    F.min("lo").alias("first_word"), F.max("hi").alias("last_word")))
-    spans = merged.join(F.broadcast(total), "template").withColumn("covered", F.col("found") / F.col("t_grams"))
+    spans = merged.withColumn("covered", F.col("found") / F.col("t_grams"))
     # A true span is about as long as its template.
     return (spans.where((F.col("covered") >= coverage)
                         & (F.col("last_word") - F.col("first_word") + 1 <= F.col("t_grams") + 2 * gap))
