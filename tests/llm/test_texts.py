@@ -268,6 +268,27 @@ def test_short_notices_alone(spark):
         assert (got[i]["labels"], got[i]["score"]) == (want, float(want != "")), t
 
 
+def test_licenses_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    gnu = "This work is licensed under the GNU {}General Public License, version 3."
+    body = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    bsd = next(t for _, t in licenses.TEMPLATES if t.startswith("Redistribution"))
+    texts = {cc.format("Attribution"): "cc-by", cc.format("Attribution-ShareAlike"): "cc-by-sa",
+             cc.format("Attribution-NonCommercial"): "cc-by-nc", cc.format("Attribution-NoDerivatives"): "cc-by-nd",
+             cc.format("Attribution-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+             cc.format("Attribution-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+             cc.format("Attribution") + " x " + cc.format("Attribution-ShareAlike"): "cc-by,cc-by-sa",
+             cc.format("Attribution-NonCommercial-NoDerivatives").replace("a Creative", "one Creative"): "cc-by-nc-nd",
+             gnu.format(""): "gpl", gnu.format("Lesser "): "lgpl", gnu.format("Affero "): "agpl",
+             "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0.": "cc-by,cc-by-nc-nd",
+             "This project is licensed under the terms of the ISC license.": "",
+             "Released under the MIT License. " * 5: "mit", "All rights reserved. " + bsd: "bsd", body[0]: "mit"}
+    data = spark.createDataFrame([(i, f"words before {t} and after") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(data.union(data.where("doc_id = 1"))).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert got[i] == want, t
+
+
 # ---------------------------------------------------------------- urls
 
 def test_urls(spark):

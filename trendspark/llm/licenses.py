@@ -4,12 +4,16 @@ The words of each text and of each license template are cut into rolling word
 k-grams. Their hashes are joined; a hit at word d of a text and word t of a
 template votes for the diagonal d - t. Votes are summed by diagonal,
 neighbouring diagonals (words were put in or left out) merge, and the span under
-a merged diagonal is verified: it must hold enough of the template's k-grams and
-of its words. Base phrases are found beside that, exactly.
+a merged diagonal is verified: it must hold enough of the template's k-grams, and
+the text's own words there are compared with the template's: enough of them, all
+that tell its license from others, none that make another license of it. Of
+spans that overlap the one with the most k-grams stays. Base phrases are found
+beside that, exactly.
 
 The template table is a parameter of a few hundred k-grams and is broadcast;
-only hits, not texts, are shuffled. Rows with equal identifier and text share
-their hits, which are counted once.
+only hits and the words of texts with a span to verify are shuffled. The latter
+are found by a bitmap of hashed texts, 8 MB at any size of the corpus. Rows with
+equal identifier and text share their hits, which are counted once.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from trendspark.llm.common import text_or_empty
 from trendspark.session import cut_lineage
 
 K = 3
+BITMAP = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -46,11 +51,20 @@ TEMPLATES = (
             "that the following conditions are met: Redistributions of source code must retain the above copyright notice"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International "
+                    "License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                    "International License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
             "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in "
                     "any form or by any means"),
+    ("bsd", "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are "
+            "permitted provided that the following conditions are met: Redistributions of source code must retain the above "
+            "copyright notice"),
     # Short notices; three words are one k-gram.
     ("proprietary", "All rights reserved."),
     ("cc-by-sa", "CC BY-SA"),
@@ -58,11 +72,19 @@ TEMPLATES = (
     ("cc-by-nd", "CC BY-ND"),
     ("cc-by-nc-sa", "CC BY-NC-SA"),
     ("cc-by-nc-nd", "CC BY-NC-ND"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
     ("mpl", "Mozilla Public License"),
     ("bsd", "BSD 2-Clause License"),
     ("bsd", "BSD 3-Clause License"),
 )
 
+# --- fixed values: names that a span must hold if its template does, and the words that make another
+# license of the same name, which it must hold or lack as its template does ---
+NAMES = {"mit": (), "apache": (), "bsd": (), "mozilla": (), "gnu": ("lesser", "affero", "library"),
+         "cc": ("sa", "nc", "nd"),
+         "commons": ("sharealike", "alike", "noncommercial", "commercial", "noderivatives", "noderivs", "derivatives", "derivs")}
+
 
 def words_of(text: Column) -> Column:
     """Words of a text (null: none), A-Z lower-cased."""
@@ -124,12 +146,72 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .withColumn("band", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .groupBy("id", "key", "label", "template", "t_grams", "band")
               .agg(F.size(F.array_distinct(F.flatten(F.collect_list("t_ats")))).alias("found"),
-                   F.min("lo").alias("first_word"), F.max("hi").alias("last_word")))
+                   F.min("lo").alias("first_word"), F.max("hi").alias("last_word"),
+                   F.min(F.array_min("t_ats")).alias("t_lo"), F.max(F.array_max("t_ats")).alias("t_hi")))
     spans = merged.withColumn("covered", F.col("found") / F.col("t_grams"))
     # A true span is about as long as its template.
-    return (spans.where((F.col("covered") >= coverage)
+    spans = spans.where((F.col("covered") >= coverage)
                         & (F.col("last_word") - F.col("first_word") + 1 <= F.col("t_grams") + 2 * gap))
-            .select(F.col("id").alias(id_col), "key", "label", "template", "first_word", "last_word", "covered"))
+    spans = best_spans(verified(cut_lineage(spans, "license-candidates"), text, template_words(spark, templates), k, gap, coverage), k)
+    return spans.select(F.col("id").alias(id_col), "key", "label", "template", "first_word", "last_word", "covered")
+
+
+def template_words(spark, templates=TEMPLATES) -> DataFrame:
+    """``t_words`` of every template, and those a span of it must hold (``need``) or lack (``foreign``)."""
+    rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, body string")
+    rows = rows.select("template", F.array_distinct(words_of(F.col("body"))).alias("t_words"))
+    holds = {name: F.array_contains("t_words", name) for name in NAMES}
+    every = F.array(*[F.lit(w) for name, others in NAMES.items() for w in (name, *others)])
+    others = F.concat(*[F.when(holds[name], F.array(*[F.lit(w) for w in words])).otherwise(F.array().cast("array<string>"))
+                        for name, words in NAMES.items() if words])
+    return rows.select("template", "t_words", F.array_intersect("t_words", every).alias("need"),
+                       F.array_except(others, "t_words").alias("foreign"))
+
+
+def verified(spans: DataFrame, text: DataFrame, table: DataFrame, k: int, gap: int, coverage: float) -> DataFrame:
+    """The ``spans`` whose words pass; ``text`` has ``id``, ``key`` and ``body``. At either end
+    up to ``gap`` words are looked at beyond a span, where its template goes on."""
+    place = F.pmod(F.col("key"), F.lit(BITMAP))
+    bits = spans.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))  # at most 2,049 rows of 4 KB
+    own = (text.withColumn("bit", F.bitmap_bit_position(place))
+           .join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"))
+           .where(F.expr("shiftright({}, cast(bit % 8 as int)) & 1 = 1".format(
+               "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")))
+           .select(F.col("id").alias("d_id"), F.col("key").alias("d_key"), words_of(F.col("body")).alias("words")))
+    # The words are made below the join, once a text; each span takes its slice of them.
+    by_text = spans.groupBy("id", "key").agg(F.collect_list(F.struct(
+        "label", "template", "found", "covered", "first_word", "last_word",
+        F.greatest(F.col("first_word") - F.least("t_lo", F.lit(gap)), F.lit(0)).alias("lo"),
+        (F.col("last_word") + k + F.least(F.col("t_grams") - 1 - F.col("t_hi"), F.lit(gap))).alias("hi"))).alias("spans"))
+    sliced = by_text.join(own, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("key"))).select(
+        "id", "key", F.explode(F.transform("spans", lambda s: F.struct(
+            s.alias("s"), F.slice("words", s["first_word"] + 1, s["last_word"] - s["first_word"] + k).alias("inside"),
+            F.slice("words", s["lo"] + 1, (s["hi"] - s["lo"]).cast("int")).alias("around")))).alias("x"))
+    judged = sliced.select("id", "key", "x.s.*", "x.inside", "x.around").join(F.broadcast(table), "template")
+    right = judged.where((F.size(F.array_intersect("t_words", "inside")) >= coverage * F.size("t_words"))
+                         & (F.size(F.array_except("need", "around")) == 0)
+                         & (F.size(F.array_intersect("foreign", "around")) == 0))
+    return right.select("id", "key", "label", "template", "found", "covered", "first_word", "last_word").distinct()
+
+
+def best_spans(spans: DataFrame, k: int) -> DataFrame:
+    """Of spans that share words, those with the most k-grams (then the larger share, then the first template)."""
+    by = Window.partitionBy("id", "key").orderBy("first_word", "last_word", "template")
+    before = F.max("last_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("first_word") > before + k - 1), F.lit(True)).cast("int")
+    heaps = (spans.withColumn("new", new)
+             .withColumn("heap", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .groupBy("id", "key", "heap").agg(F.array_sort(F.collect_list(F.struct(
+                 (-F.col("found")).alias("worse"), (-F.col("covered")).alias("less"), "template", "first_word", "last_word",
+                 "label", "covered"))).alias("ranked")))
+
+    def add(kept, s):
+        meets = F.exists(kept, lambda o: (s["first_word"] < o["last_word"] + k) & (o["first_word"] < s["last_word"] + k))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(s)))
+
+    return heaps.select("id", "key", F.explode(F.aggregate("ranked", F.slice("ranked", 1, 0), add)).alias("s")).select(
+        "id", "key", "s.*")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = K) -> DataFrame:
