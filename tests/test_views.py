@@ -1,11 +1,14 @@
 """The derived views keep every row and character of their tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_CHECK, SF_SMALL
 from trendspark.operators import vecops
 from trendspark.plans import views
+from trendspark.plans.registry import QUERIES, load_all
 from trendspark.streaming.stream import _latest_state
 
 
@@ -63,3 +66,15 @@ def test_sparse_svd_equals_numpy(spark):
     s = np.linalg.svd(a, compute_uv=False)
     assert np.allclose(np.linalg.norm(got, axis=0), s[:3], rtol=1e-3)
     assert np.allclose(got @ got.T, a @ a.T, atol=0.05 * s[0])
+
+
+def test_counts_without_vectors_take_all_articles(spark):
+    load_all()
+    d = views.topic_docs(spark, SF_CHECK).where("topic <> -1")
+    sizes = {r["topic"]: r["count"] for r in d.groupBy("topic").count().collect()}
+    assert sum(sizes.values()) > d.where("embedding IS NOT NULL").count()
+    assert {r["topic"]: r["size"] for r in QUERIES["topic_purity_whole"](spark, SF_CHECK).collect()} == sizes
+    assert {r["topic_id"]: r["log_size"] for r in QUERIES["topic_features_whole"](spark, SF_CHECK).collect()} == {
+        t: pytest.approx(math.log(max(n, 2)), abs=1e-6) for t, n in sizes.items()}
+    big = set(sorted(sizes, key=lambda t: (-sizes[t], t))[:3])
+    assert {r["topic"] for r in QUERIES["attribution_top_tokens_whole"](spark, SF_CHECK).collect()} == big
