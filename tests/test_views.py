@@ -78,3 +78,24 @@ def test_counts_without_vectors_take_all_articles(spark):
         t: pytest.approx(math.log(max(n, 2)), abs=1e-6) for t, n in sizes.items()}
     big = set(sorted(sizes, key=lambda t: (-sizes[t], t))[:3])
     assert {r["topic"] for r in QUERIES["attribution_top_tokens_whole"](spark, SF_CHECK).collect()} == big
+
+
+def test_model_verifies_events_without_a_timeline(spark):
+    from trendspark.operators import events as E
+
+    events = spark.createDataFrame([(t, 2019, "Quiet", "quiet / word") for t in range(4)],
+                                   "topic_id int, year int, topic_label string, raw_label string")
+    none = spark.createDataFrame([], "topic_id int, payload string")
+    probs = spark.createDataFrame([(0, 2019, 0.8), (1, 2019, 0.5), (2, 2019, 0.2), (3, 2018, 0.9)],
+                                  "topic_id int, year int, prob double")
+    got = {r["topic_id"]: (r["verification_status"], r["gdelt_peak_value"], r["gdelt_peak_date"])
+           for r in E.verify_events(events, none, E.ground_truth_rules(spark), probs).collect()}
+    assert got == {0: ("VERIFIED_GROUNDTRUTH", 0.8, "20190701000000"), 1: ("LIKELY_REAL", 0.5, "20190701000000"),
+                   2: ("GDELT_UNAVAILABLE", 0.0, ""), 3: ("GDELT_UNAVAILABLE", 0.0, "")}
+
+
+def test_registered_queries_run_the_model_branch(spark):
+    load_all()
+    assert {"timeline_verify_model", "layered_verdict_model"} <= set(QUERIES)
+    given = QUERIES["timeline_verify_given"](spark, SF_SMALL).collect()
+    assert "LIKELY_REAL" in {r["verification_status"] for r in given}

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
 from trendspark.operators import bow, events as E, topics as TP, trend
-from trendspark.plans.q_events import NEWS_SIGNALS_SQL, news_signals, verification
+from trendspark.plans.q_events import (LAYERED_LABELS, NEWS_SIGNALS_SQL, VERIFY_SQL, news_signals, timeline_df,
+                                       verification)
 from trendspark.plans.q_quality import _merge
 from trendspark.plans.q_vectors import PURITY_SQL, _mean_sql, _unit_sql, features_df, tdv, whole, whole_sql
 from trendspark.plans.registry import register
@@ -74,17 +75,19 @@ def features_table(spark, sf_dir, docs=tdv):
 FEATURES = ["max_velocity", "peak_class_code", "nonzero_years", "coherence", "purity", "log_size"]
 
 
-def calibrated_gbt(train, n_folds: int, seed: int = 42):
+def calibrated_gbt(train, n_folds: int, seed: int = 42, rows=None):
     """GBT (100 trees, depth 3, rate 0.1) calibrated by isotonic
     regression over ``n_folds`` hash folds; the probability is the mean of
     the fold calibrators applied to their fold models. The training table is
-    the per-topic feature table (one row per topic)."""
+    the per-topic feature table (one row per topic). ``rows`` (topic_id, year, FEATURES)
+    are scored instead of it if given."""
     va = VectorAssembler(inputCols=FEATURES, outputCol="features")
     # stratified folds: position within the label class (hash order) modulo k;
     # the window runs over the per-topic table (one row per topic)
     wf = Window.partitionBy("label").orderBy(F.xxhash64("topic_id", F.lit(seed)), "topic_id")
     d = va.transform(train.withColumn("y", F.col("label").cast("double"))
                      .withColumn("fold", F.pmod(F.row_number().over(wf) - 1, F.lit(n_folds))))
+    scored, keys = (d, ["topic_id"]) if rows is None else (va.transform(rows), ["topic_id", "year"])
     probs = None
     for f in range(n_folds):
         gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=100, maxDepth=3, stepSize=0.1,
@@ -92,11 +95,11 @@ def calibrated_gbt(train, n_folds: int, seed: int = 42):
         m = gbt.fit(d.where(F.col("fold") != f))
         held = m.transform(d.where(F.col("fold") == f)).withColumn("p1", vector_to_array("probability")[1])
         iso = IsotonicRegression(featuresCol="p1", labelCol="y", predictionCol="cal").fit(held)
-        allp = iso.transform(m.transform(d).withColumn("p1", vector_to_array("probability")[1]))
-        allp = allp.select("topic_id", F.col("cal").alias(f"p{f}"))
-        probs = allp if probs is None else probs.join(allp, "topic_id")
+        allp = iso.transform(m.transform(scored).withColumn("p1", vector_to_array("probability")[1]))
+        allp = allp.select(*keys, F.col("cal").alias(f"p{f}"))
+        probs = allp if probs is None else probs.join(allp, keys)
     cols = [F.col(f"p{f}") for f in range(n_folds)]
-    return probs.select("topic_id", (sum(cols[1:], cols[0]) / n_folds).alias("probability"))
+    return probs.select(*keys, (sum(cols[1:], cols[0]) / n_folds).alias("probability"))
 
 
 @register("event_classifier")
@@ -115,6 +118,105 @@ def event_classifier(spark, sf_dir):
                     E.verdict(F.col("probability")).alias("verdict")))
 
 
+# ----------------------------------------------------------------- V35 and V34 with a model
+
+#: Probabilities of the topics for the queries that SQL checks.
+GIVEN_PROBS = {0: 0.80, 1: 0.62, 2: 0.75, 3: 0.55, 4: 0.45, 5: 0.30, 6: 0.10, 7: 0.40}
+GIVEN_SQL = "mp AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {p})" for t, p in GIVEN_PROBS.items()) + ") v(topic_id, prob))"
+
+
+def given_probs(spark):
+    return spark.createDataFrame(list(GIVEN_PROBS.items()), "topic_id int, prob double")
+
+
+def classifier_probs(spark, sf_dir, sig=None):
+    """Probabilities of ``event_classifier``'s model, or None where it refuses: by topic, or by topic
+    and year from the signals of the year (V35) if ``sig`` is given."""
+    from trendspark.session import cut_lineage
+    ft = cut_lineage(features_table(spark, sf_dir, whole))
+    st = ft.agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("pos")).first()
+    if st["n"] < 6 or st["pos"] < 2:
+        return None
+    rows = None if sig is None else sig.select(
+        "topic_id", "year", F.coalesce("velocity", F.lit(0.0)).alias("max_velocity"),
+        trend.class_code(F.col("signal_class")).alias("peak_class_code"), F.col("nonzero_years").cast("int")).join(
+        ft.select("topic_id", "coherence", "purity", "log_size"), "topic_id")
+    p = calibrated_gbt(ft, min(3, int(st["pos"])), rows=rows)
+    return cut_lineage(p.withColumnRenamed("probability", "prob"), "probs")
+
+
+def model_verification(spark, sig, probs):
+    """V35's model branch on (topic_id, year, prob): events whose timeline is unavailable are
+    verified by their probability; one without keeps its status. None: no model, so the
+    ground-truth dictionary."""
+    return E.verify_events(E.events_to_verify(sig), timeline_df(spark, True), E.ground_truth_rules(spark), probs)
+
+
+def model_verdicts(spark, sig, ver, probs):
+    """V34 with its model step on (topic_id, prob); confidence as in ``layered_verdict``."""
+    conf = sig.groupBy("topic_id").agg(F.sum("n_kt").alias("n"))
+    tot = conf.agg(F.sum("n").alias("_tot"))
+    labels = spark.createDataFrame(list(LAYERED_LABELS.items()), "topic_id int, topic_label string")
+    t = labels.join(conf, "topic_id").crossJoin(F.broadcast(tot)).select(
+        "topic_id", "topic_label", (F.col("n") / F.col("_tot") * 8 - 0.8).alias("confidence"))
+    t = t.withColumn("prob", F.lit(None).cast("double")) if probs is None else t.join(F.broadcast(probs), "topic_id", "left")
+    return E.layered_verdict(t, E.event_dictionary(spark), sig, ver)
+
+
+@register("timeline_verify_given", VERIFY_SQL + ",\n" + GIVEN_SQL + """
+SELECT v.topic_id, v.topic_label, v.spike_year, v.query_terms, v.query_start_year, v.query_end_year,
+       CASE WHEN v2.status0 = 'GDELT_UNAVAILABLE' AND mp.prob >= 0.40 THEN CAST(v.spike_year AS VARCHAR) || '0701000000'
+            ELSE coalesce(v2.peak_date, '') END AS gdelt_peak_date,
+       round(CAST(CASE WHEN v2.status0 = 'GDELT_UNAVAILABLE' AND mp.prob >= 0.40 THEN mp.prob
+                       ELSE coalesce(v2.peak_value, 0.0) END AS DOUBLE), 6) AS gdelt_peak_value,
+       CASE WHEN v2.status0 <> 'GDELT_UNAVAILABLE' THEN v2.status0 WHEN mp.prob >= 0.75 THEN 'VERIFIED_GROUNDTRUTH'
+            WHEN mp.prob >= 0.40 THEN 'LIKELY_REAL' ELSE v2.status0 END AS verification_status
+FROM ver v JOIN v2 ON v2.topic_id = v.topic_id AND v2.year = v.spike_year LEFT JOIN mp ON mp.topic_id = v.topic_id""")
+def timeline_verify_given(spark, sf_dir):
+    """V35's model branch on given probabilities."""
+    sig = news_signals(spark, sf_dir)
+    probs = sig.select("topic_id", "year").join(F.broadcast(given_probs(spark)), "topic_id")
+    return model_verification(spark, sig, probs).withColumn("gdelt_peak_value", F.round("gdelt_peak_value", 6))
+
+
+@register("timeline_verify_model")
+def timeline_verify_model(spark, sf_dir):
+    """V35 with ``event_classifier``'s model on the signals of topic and year; where it refuses, the
+    ground-truth fallback."""
+    sig = news_signals(spark, sf_dir)
+    v = model_verification(spark, sig, classifier_probs(spark, sf_dir, sig))
+    return v.withColumn("gdelt_peak_value", F.round("gdelt_peak_value", 6))
+
+
+@register("layered_verdict_given", NEWS_SIGNALS_SQL + ",\n" + GIVEN_SQL + f""",
+ll AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{v}')" for k, v in LAYERED_LABELS.items())}) v(topic_id, label)),
+conf AS (SELECT topic_id, sum(n_kt) AS n FROM signals GROUP BY topic_id),
+t AS (SELECT ll.topic_id, ll.label, mp.prob, CAST(conf.n AS DOUBLE) / (SELECT sum(n) FROM conf) * 8 - 0.8 < 0.15 AS low
+      FROM ll JOIN conf ON conf.topic_id = ll.topic_id JOIN mp ON mp.topic_id = ll.topic_id)
+SELECT topic_id, label AS topic_label,
+       CASE WHEN low THEN 'UNCERTAIN' WHEN prob >= 0.75 THEN 'VERIFIED_REAL' WHEN prob >= 0.55 THEN 'LIKELY_REAL'
+            WHEN prob >= 0.40 THEN 'UNCERTAIN' WHEN prob >= 0.25 THEN 'LIKELY_NOISE' ELSE 'VERIFIED_NOISE' END AS verdict,
+       CAST(CASE WHEN low THEN 0.5 ELSE round(prob, 3) END AS DOUBLE) AS event_probability,
+       CASE WHEN low THEN NULL WHEN prob >= 0.55 THEN true WHEN prob >= 0.40 THEN NULL ELSE false END AS is_real_event,
+       label AS event_name
+FROM t""")
+def layered_verdict_given(spark, sf_dir):
+    """V34's model step on given probabilities."""
+    sig = news_signals(spark, sf_dir)
+    probs = given_probs(spark)
+    ver = model_verification(spark, sig, sig.select("topic_id", "year").join(F.broadcast(probs), "topic_id"))
+    return model_verdicts(spark, sig, ver, probs)
+
+
+@register("layered_verdict_model")
+def layered_verdict_model(spark, sf_dir):
+    """V34 with ``event_classifier``'s model, and its verification; topics without a probability go
+    on to the event dictionary."""
+    sig = news_signals(spark, sf_dir)
+    ver = model_verification(spark, sig, classifier_probs(spark, sf_dir, sig))
+    return model_verdicts(spark, sig, ver, classifier_probs(spark, sf_dir))
+
+
 def topic_verdicts(spark, sf_dir, words):
     """V34 with its model step per topic: (topic, verdict, event_name, event_probability,
     is_real_event). Topics without a classifier probability go on to the event dictionary."""
