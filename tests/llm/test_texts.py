@@ -144,6 +144,16 @@ def test_adaptive_thresholds_follow_the_group(spark, docs, empty):
     assert len(quality.judge(quality.measured(docs)).collect()) == docs.count()
 
 
+def test_rates_that_a_source_never_has(spark):
+    clean = [(i, " ".join(f"word{(i * 7 + k) % 501}" for k in range(60)), "en", "news") for i in range(300)]
+    twice = " ".join([*(f"a{k}" for k in range(19)), *(f"b{k}" for k in range(162)), *(f"a{k}" for k in range(19))])
+    often = [(500 + i, twice, "en", "forum") for i in range(300)]
+    rows = spark.createDataFrame(clean + [(1000, twice, "en", "news")] + often, "doc_id long, text string, lang string, source string")
+    out = {r["row"]["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(quality.measured(rows)).collect()}
+    assert out[1000] == (False, False)  # 19 % repeated, in a source without repeats
+    assert all(out[i] == (False, True) for i in [*range(300), *range(500, 800)])
+
+
 def test_sketches_merge(spark):
     rows = quality.measured(spark.range(4000).select(
         F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d e f g h i j k"), F.col("id")).alias("text"),

@@ -10,7 +10,9 @@ handful of texts.
 
 Most clean texts have none of what the rates measure (symbols, repeated lines,
 repeated passages), so their quartiles can be equal; ``slack`` is what a value
-may exceed its fence by, so that one symbol in such a group is no outlier. A
+may exceed its fence by, so that one symbol in such a group is no outlier. Such
+a rate must also stay within ``TAIL`` of its group's 0.99 quantile, so that what a
+source never has isn't let through up to the slack. A
 short text's average strays further by chance: ``noise / sqrt(words)`` more is
 allowed.
 """
@@ -39,6 +41,8 @@ MEASURES = {
     "stutter": ("n_stutter / greatest(n_words, 1)", 0.15, 0.5, False),
     "word_length": ("word_chars / greatest(n_words, 1)", 1.0, 8.0, True),
 }
+#: What a rate may exceed the 0.99 quantile of its group by: slack, noise.
+TAIL = {"symbols": (0.05, 0.0), "dup_lines": (0.15, 1.0), "repeats": (0.05, 1.0)}
 SKETCH_K = 2048  # rank error about 0.1 %; groups of up to so many documents are exact
 
 
@@ -107,19 +111,21 @@ def _fences(table: DataFrame, reach: float, prefix: str) -> DataFrame:
         spread = reach * (q3 - q1) + slack
         out += [(q3 + spread).alias(f"{prefix}hi_{m}"),
                 (q1 - spread if low else F.lit(float("-inf"))).alias(f"{prefix}lo_{m}")]
+    out += [(F.kll_sketch_get_quantile_double(m, F.lit(0.99)) + slack).alias(f"{prefix}tail_{m}")
+            for m, (slack, _) in TAIL.items()]
     return table.select(*[F.col(c) for c in table.columns if c not in MEASURES and c != "n"],
                         F.col("n").alias(f"{prefix}n"), *out)
 
 
 def thresholds(table: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
-    """``hi_*`` and ``lo_*`` of every language and source of a sketch table."""
+    """``hi_*``, ``lo_*`` and ``tail_*`` of every language and source of a sketch table."""
     own, lang, whole = (_fences(t, reach, p) for t, p in (
         (table, "s_"), (_merged(table, "lang"), "l_"), (_merged(table), "w_")))
     lang = lang.withColumnRenamed("lang", "l_lang")
     all_ = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(F.broadcast(whole))  # one row
     return all_.select("lang", "source", *[
         F.when(F.col("s_n") >= enough, F.col(f"s_{c}")).when(F.col("l_n") >= enough, F.col(f"l_{c}"))
-        .otherwise(F.col(f"w_{c}")).alias(c) for m in MEASURES for c in (f"hi_{m}", f"lo_{m}")])
+        .otherwise(F.col(f"w_{c}")).alias(c) for c in [f"{side}_{m}" for m in MEASURES for side in ("hi", "lo")] + [f"tail_{m}" for m in TAIL]])
 
 
 def fences_of(rows: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
@@ -144,6 +150,9 @@ def judge(rows: DataFrame, fences: DataFrame | None = None) -> DataFrame:
         value, stray = F.expr(value), noise / F.sqrt(F.greatest("n_words", F.lit(1)))
         inside = inside & (value - stray <= F.coalesce(F.col(f"hi_{m}"), F.lit(float("inf")))) & (
             value + stray >= F.coalesce(F.col(f"lo_{m}"), F.lit(float("-inf"))))
+    for m, (_, noise) in TAIL.items():
+        stray = noise / F.sqrt(F.greatest("n_words", F.lit(1)))
+        inside = inside & (F.expr(MEASURES[m][0]) - stray <= F.coalesce(F.col(f"tail_{m}"), F.lit(float("inf"))))
     joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     return joined.select(*rows.columns, (~F.col("base_failed") & inside).alias("kept"))
 
