@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, toxicity, url_filter
+from trendspark.llm import chat, divergence, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity, url_filter, whitening
 from trendspark.llm.common import read
 from trendspark.session import cut_lineage
 
@@ -151,3 +151,49 @@ def op5_crf_toxicity(spark, sf_dir):
     model = toxicity.train(*toxicity.labelled_sample(docs, labels))
     return toxicity.score_documents(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+         FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM grid GROUP BY lang, source),
+p AS (SELECT grid.lang, grid.source, grid.term, n,
+             1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v)::HUGEINT AS p
+      FROM grid JOIN t ON grid.lang = t.lang AND grid.source = t.source JOIN v ON v.lang = grid.lang),
+l AS (SELECT grid.lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v))::HUGEINT AS q
+      FROM grid JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) s ON s.lang = grid.lang
+      JOIN v ON v.lang = grid.lang GROUP BY grid.lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+term AS (SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value
+         FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE n > 0 AND p > q),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+      UNION ALL SELECT lang, source, 'term', item, value FROM term),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 10""")
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergences(read(spark, sf_dir, "documents"))
+
+
+@query("op12_incremental_whitening")
+def op12_incremental_whitening(spark, sf_dir):
+    rows = whitening.quantised(read(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return whitening.whiten(rows, most=4).select("row.vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+                                                 "whitened", "explained", "identity_error")
+
+
+@query("op13_heap_bpe_counts")
+def op13_heap_bpe_counts(spark, sf_dir):
+    rows = token_counts.counted(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return rows.select("row.doc_id", "n_bytes", "n_tokens", token_counts.over_limit(2048).alias("over_limit"))
