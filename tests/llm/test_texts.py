@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -154,13 +155,66 @@ def test_rates_that_a_source_never_has(spark):
     assert all(out[i] == (False, True) for i in [*range(300), *range(500, 800)])
 
 
-def test_sketches_merge(spark):
-    rows = quality.measured(spark.range(4000).select(
-        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d e f g h i j k"), F.col("id")).alias("text"),
-        F.lit("en").alias("lang"), (F.col("id") % 2).cast("string").alias("source")))
-    parts = quality.sketches(rows.where("source = '0'")).unionByName(quality.sketches(rows.where("source = '1'")))
-    merged = quality._merged(parts, "lang").first()
-    assert merged["n"] == 4000
+def plain_kept(rows, error=None):
+    """Verdicts by sorting each group's values; with ``error`` a quantile is the middle of its bucket."""
+    def value(c, m):
+        return {"symbols": c["n_symbols"] / max(c["n_words"], 1), "dup_lines": c["n_dup_lines"] / max(c["n_lines"], 1),
+                "repeats": c["n_repeat_words"] / max(c["n_words"], 1), "stutter": c["n_stutter"] / max(c["n_words"], 1),
+                "word_length": c["word_chars"] / max(c["n_words"], 1)}[m]
+
+    def rank(values, p):
+        v = sorted(values)[max(math.ceil(p * len(values)), 1) - 1]
+        if not v or not error:
+            return v
+        growth = (1 + error) / (1 - error)
+        return growth ** math.ceil(math.log(v) / math.log(growth)) * (1 - error)
+
+    passed = [r for r in rows if r["n_words"] >= 10 and 5 * r["n_repeat_words"] <= r["n_words"]]
+    out = []
+    for r in rows:
+        group = [x for x in passed if (x["lang"], x["source"]) == (r["lang"], r["source"])]
+        if len(group) < 100:
+            group = [x for x in passed if x["lang"] == r["lang"]]
+        if len(group) < 100:
+            group = passed
+        kept = r["n_words"] >= 10 and 5 * r["n_repeat_words"] <= r["n_words"]
+        for m, slack, noise, low, tail in (("symbols", 0.10, 0, False, (0.05, 0)), ("dup_lines", 0.45, 1, False, (0.15, 1)),
+                                           ("repeats", 0.20, 0, False, (0.05, 1)), ("stutter", 0.15, 0.5, False, None),
+                                           ("word_length", 1.0, 8, True, None)):
+            values, v, words = [value(x, m) for x in group], value(r, m), max(r["n_words"], 1)
+            q1, q3 = rank(values, 0.25), rank(values, 0.75)
+            kept &= v - noise / words ** 0.5 <= q3 + 3 * (q3 - q1) + slack
+            kept &= not low or v + noise / words ** 0.5 >= q1 - 3 * (q3 - q1) - slack
+            kept &= not tail or v - tail[1] / words ** 0.5 <= rank(values, 0.99) + tail[0]
+        out.append(kept)
+    return out
+
+
+def test_verdicts_equal_a_plain_version(spark, docs):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    many = documents.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("source"))
+    for table in (many, docs):
+        rows = quality.judge(quality.measured(table)).collect()
+        assert [r["kept"] for r in rows] == plain_kept(rows, quality.ERROR)
+        assert [r["kept"] for r in rows] == plain_kept(rows)  # no text here lies within the error of a fence
+
+
+def test_sketches_merge_and_repeat(spark):
+    """Of 1,000,000 rows in any order and partitioning the same fences, within the error of exact ones."""
+    def rows(order, parts):
+        base = spark.range(1_000_000).repartition(parts, F.xxhash64("id", F.lit(order)))
+        return base.select(
+            F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, "hot").alias("source"), (20 + F.col("id") % 977).alias("n_words"),
+            (90 + 5 * (F.col("id") % 977) + F.col("id") % 61).alias("word_chars"), (F.col("id") % 13).alias("n_symbols"),
+            F.lit(0).alias("n_dup_lines"), (F.col("id") % 4).alias("n_repeat_words"), F.lit(3).alias("n_lines"), (F.col("id") % 7).alias("n_stutter"))
+
+    found = [sorted(map(str, quality.fences_of(rows(k, parts)).collect())) for k, parts in ((1, 3), (2, 16))]
+    assert found[0] == found[1]
+    table = quality.sketches(rows(3, 8).where("source is null")).unionByName(quality.sketches(rows(3, 8).where("source is not null")))
+    out = {r["measure"]: r for r in quality.quantiles(quality.merged(table, "lang"), ["lang"], {"q": 0.75}).collect()}
+    for m, (value, *_) in quality.MEASURES.items():
+        exact = rows(1, 8).selectExpr(f"percentile_disc(0.75) within group (order by {value}) as q").first()["q"]
+        assert out[m]["total"] == 1_000_000 and abs(out[m]["q"] - exact) <= quality.ERROR * exact * 1.000001
 
 
 # ---------------------------------------------------------------- toxicity

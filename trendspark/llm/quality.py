@@ -1,7 +1,10 @@
 """Quality rules with adaptive thresholds.
 
-Each text is measured; a mergeable quantile sketch (KLL) of every measure is
-kept per language and source. The fences of a group come from its quantiles,
+Each text is measured; a mergeable quantile sketch of every measure is kept per
+language and source: counts of values per logarithmic bucket, so that a quantile is
+off by ``ERROR`` of its value at most. A sketch is a pure function of the rows it
+stands for, in any order and partitioning, so reruns agree; sketches are merged by
+adding counts. The fences of a group come from its quantiles,
 ``q3 + reach * (q3 - q1)`` and the same below ``q1`` where a measure can be too
 low, and are joined to its documents, which pass or fail. A group of fewer than
 ``enough`` documents merges its sketches with those of its whole language, and
@@ -19,12 +22,13 @@ allowed.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +47,8 @@ MEASURES = {
 }
 #: What a rate may exceed the 0.99 quantile of its group by: slack, noise.
 TAIL = {"symbols": (0.05, 0.0), "dup_lines": (0.15, 1.0), "repeats": (0.05, 1.0)}
-SKETCH_K = 2048  # rank error about 0.1 %; groups of up to so many documents are exact
+ERROR = 0.005  # relative error of a quantile
+_GROWTH = math.log((1 + ERROR) / (1 - ERROR))  # from one bucket to the next
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -88,39 +93,60 @@ def measured(docs: DataFrame, carry: list[str] | None = None, text_col: str = "t
     return own.mapInArrow(run, schema)
 
 
+def bucket(value: Column) -> Column:
+    """Bucket of a value: null for 0, else k with growth^(k-1) < value <= growth^k."""
+    return F.when(value > 0, F.ceil(F.log(value) / _GROWTH))
+
+
+def bucket_value(k: Column) -> Column:
+    """The value that is within ``ERROR`` of all values of a bucket."""
+    return F.coalesce((1 - ERROR) * F.exp(k * _GROWTH), F.lit(0.0))
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """One row per language and source: ``n`` and a sketch of each measure. The sketches
-    are mergeable: tables of other days or corpora can be added to this one."""
-    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[
-        F.kll_sketch_agg_double(F.expr(value), F.lit(SKETCH_K)).alias(name) for name, (value, *_) in MEASURES.items()])
+    """``lang``, ``source``, ``measure``, ``bucket``, ``n``: some hundred rows a group and measure, however
+    many its texts. Tables of other days or corpora are merged with this one by ``merged``."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.expr(value)).alias("bucket"))
+                               for m, (value, *_) in MEASURES.items()])).alias("of")
+    return rows.select("lang", "source", each).groupBy("lang", "source", "of.measure", "of.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(table: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of all rows of a table that share ``keys``."""
+    return table.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
 def base_fails():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _merged(table: DataFrame, *keys: str) -> DataFrame:
-    return table.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m)
-                                                             for m in MEASURES])
+def quantiles(table: DataFrame, keys: list[str], ranks: dict[str, float]) -> DataFrame:
+    """``keys``, ``measure``, ``total`` and a column for each of ``ranks``: the value of the bucket that
+    holds the row of that rank. A window orders the buckets of one sketch."""
+    within = Window.partitionBy(*keys, "measure")
+    upto = table.select("*", F.sum("n").over(within.orderBy(F.asc_nulls_first("bucket")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)).alias("upto"), F.sum("n").over(within).alias("total"))
+    return upto.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *[
+        F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total")), bucket_value(F.col("bucket")))).alias(name)
+        for name, p in ranks.items()])
 
 
-def _fences(table: DataFrame, reach: float, prefix: str) -> DataFrame:
-    out = []
+def _fences(table: DataFrame, keys: list[str], reach: float, prefix: str) -> DataFrame:
+    found = quantiles(table, keys, {"q1": 0.25, "q3": 0.75, "q99": 0.99})
+    of = lambda m, value: F.max(F.when(F.col("measure") == m, value))  # noqa: E731  (one row a measure)
+    out = [F.max("total").alias(f"{prefix}n")]
     for m, (_, slack, _, low) in MEASURES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(p)) for p in (0.25, 0.75))
-        spread = reach * (q3 - q1) + slack
-        out += [(q3 + spread).alias(f"{prefix}hi_{m}"),
-                (q1 - spread if low else F.lit(float("-inf"))).alias(f"{prefix}lo_{m}")]
-    out += [(F.kll_sketch_get_quantile_double(m, F.lit(0.99)) + slack).alias(f"{prefix}tail_{m}")
-            for m, (slack, _) in TAIL.items()]
-    return table.select(*[F.col(c) for c in table.columns if c not in MEASURES and c != "n"],
-                        F.col("n").alias(f"{prefix}n"), *out)
+        spread = reach * (F.col("q3") - F.col("q1")) + slack
+        out += [of(m, F.col("q3") + spread).alias(f"{prefix}hi_{m}"),
+                (of(m, F.col("q1") - spread) if low else F.lit(float("-inf"))).alias(f"{prefix}lo_{m}")]
+    out += [of(m, F.col("q99") + slack).alias(f"{prefix}tail_{m}") for m, (slack, _) in TAIL.items()]
+    return found.groupBy(*keys).agg(*out)
 
 
 def thresholds(table: DataFrame, reach: float = 3.0, enough: int = 100) -> DataFrame:
     """``hi_*``, ``lo_*`` and ``tail_*`` of every language and source of a sketch table."""
-    own, lang, whole = (_fences(t, reach, p) for t, p in (
-        (table, "s_"), (_merged(table, "lang"), "l_"), (_merged(table), "w_")))
+    own, lang, whole = (_fences(merged(table, *keys), keys, reach, p) for keys, p in (
+        (["lang", "source"], "s_"), (["lang"], "l_"), ([], "w_")))
     lang = lang.withColumnRenamed("lang", "l_lang")
     all_ = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(F.broadcast(whole))  # one row
     return all_.select("lang", "source", *[
@@ -140,7 +166,10 @@ def judge(rows: DataFrame, fences: DataFrame | None = None) -> DataFrame:
 
     Base: fewer than 10 words, or more than a fifth of the words repeated. Rows
     of a null language or source form groups of their own. The fences rest on
-    documents that pass the base. An empty table gives an empty result.
+    documents that pass the base. Rows that repeat count, and are judged, as often
+    as they come; a tied value passes a fence it equals. Very long texts are measured
+    whole. Carried columns lie in ``row``, so names don't clash. An empty table gives an
+    empty result.
     """
     fences = fences_of(rows) if fences is None else fences
     rows = rows.withColumn("base_failed", base_fails())
