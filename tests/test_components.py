@@ -1,6 +1,6 @@
 import random
 
-from trendspark.operators.cluster import keyed_components
+from trendspark.operators.components import keyed_components
 from trendspark.operators.components import components
 
 

@@ -34,7 +34,7 @@ def test_block_search_equals_numpy(spark):
     df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, v array<double>, g int")
     q, c = df.selectExpr("id AS qid", "v AS qv", "g"), df.selectExpr("id AS cid", "v AS cv", "g")
     for group in (None, "g"):
-        got = vecops.top_k_similar(q, c, 3, exclude_self=True, block=16, group=group).collect()
+        got = vecops.top_k_blocks(q, c, 3, exclude_self=True, block=16, group=group).collect()
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
         if group:
@@ -73,11 +73,11 @@ def test_counts_without_vectors_take_all_articles(spark):
     d = views.topic_docs(spark, SF_CHECK).where("topic <> -1")
     sizes = {r["topic"]: r["count"] for r in d.groupBy("topic").count().collect()}
     assert sum(sizes.values()) > d.where("embedding IS NOT NULL").count()
-    assert {r["topic"]: r["size"] for r in QUERIES["topic_purity_whole"](spark, SF_CHECK).collect()} == sizes
-    assert {r["topic_id"]: r["log_size"] for r in QUERIES["topic_features_whole"](spark, SF_CHECK).collect()} == {
+    assert {r["topic"]: r["size"] for r in QUERIES["topic_purity"](spark, SF_CHECK).collect()} == sizes
+    assert {r["topic_id"]: r["log_size"] for r in QUERIES["topic_features"](spark, SF_CHECK).collect()} == {
         t: pytest.approx(math.log(max(n, 2)), abs=1e-6) for t, n in sizes.items()}
     big = set(sorted(sizes, key=lambda t: (-sizes[t], t))[:3])
-    assert {r["topic"] for r in QUERIES["attribution_top_tokens_whole"](spark, SF_CHECK).collect()} == big
+    assert {r["topic"] for r in QUERIES["attribution_top_tokens"](spark, SF_CHECK).collect()} == big
 
 
 def test_model_verifies_events_without_a_timeline(spark):

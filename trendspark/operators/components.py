@@ -21,7 +21,9 @@ def _roots(parents: DataFrame) -> DataFrame:
     """(node, label) forest with label < node, each node led to its root."""
     while True:
         up = parents.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        stepped = cut_lineage(parents.join(up, "label", "left").select(
+        once = parents.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+        # two steps a written table; a node whose second step finds nothing above has come to its root
+        stepped = cut_lineage(once.join(up, "label", "left").select(
             "node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")), "roots")
         parents = stepped.select("node", "label")
         if stepped.where("moved").isEmpty():
@@ -49,3 +51,13 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             to = hooks.select(F.col("node").alias("label"), F.col("label").alias("to"))
             moved = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             labels = cut_lineage(moved.unionByName(hooks), "labels")
+
+
+def keyed_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., node, comp) with comp the smallest node of its component.
+    ``edges``: (keys..., src, dst), undirected; each key is a graph of its own."""
+    named = lambda c: F.struct(*keys, F.col(c).alias("node"))
+    labels = components(edges.select(named("src").alias("a"), named("dst").alias("b")))
+    labels = labels.select("node.*", F.col("label.node").alias("comp"))
+    return (nodes.select(*keys, "node").join(labels, keys + ["node"], "left")
+            .withColumn("comp", F.coalesce("comp", "node")))

@@ -2,9 +2,9 @@
 coherence and separation, exact kNN graph, mutual reachability and the
 participation ratio.
 
-Exact nearest-neighbour search compares blocks of queries with blocks of the
-corpus on the executors and keeps the best k per query and block pair; against
-a few centroids the queries are scored where they lie.
+Nearest neighbours are searched through an index (``vecindex``), or by comparing all
+blocks of queries with all blocks of the corpus (``top_k_blocks``); against a few
+centroids the queries are scored where they lie.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendspark.functions import vectors as V
+from trendspark.operators import vecindex
 
 BLOCK = 512  # vectors of a block in exact search
 
@@ -78,9 +79,19 @@ def _blocks(df: DataFrame, keys: list[str], id_col: str, vec: str, prefix: str,
             .agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).alias("v"))).alias(prefix)))
 
 
-def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid",
-                  qv: str = "qv", cv: str = "cv", exclude_self: bool = False,
-                  block: int = BLOCK, group: str | None = None) -> DataFrame:
+def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, group: str | None = None,
+                  probes: int = 8, complete: str = "all") -> DataFrame:
+    """Top-k by cosine of unit vectors through an index of the corpus (``vecindex``):
+    (qid, rank, cid, sim), ties by the lower corpus id. With ``group`` only vectors of the same
+    group are compared. Exact unless ``complete`` says otherwise; cells that hold nothing
+    near a query are not visited. ``top_k_blocks`` is the same without an index."""
+    index = vecindex.build_index(corpus, "cid", "cv", group)
+    return vecindex.search(index, queries, k, group=group, exclude_self=exclude_self, probes=probes, complete=complete)
+
+
+def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid", cid: str = "cid",
+                 qv: str = "qv", cv: str = "cv", exclude_self: bool = False,
+                 block: int = BLOCK, group: str | None = None) -> DataFrame:
     """Exact top-k by dot product (cosine on unit vectors): (qid, rank, cid, sim).
     Ties: lower corpus id first. With ``group`` (a column on both sides) only
     pairs of the same group are compared.
@@ -129,14 +140,13 @@ def group_coherence(df: DataFrame, group: str, vec: str, min_size: int = 2) -> D
 
 
 def vector_separation(df: DataFrame, grp: str, vec: str, mode: str = "min", min_size: int = 1) -> DataFrame:
-    """V7 + V8 on dense vectors for groups 'A' and 'B' (closed form)."""
-    u = df.select(grp, V.unit(vec).alias("u"))
-    m = mean_vectors(u, grp, "u")
-    a = m.where(F.col(grp) == "A").select(F.col("mean").alias("ma"), F.col("n").alias("n_a"))
-    b = m.where(F.col(grp) == "B").select(F.col("mean").alias("mb"), F.col("n").alias("n_b"))
-    r = a.crossJoin(b).select(
-        "n_a", "n_b", V.dot("ma", "ma").alias("intra_a"), V.dot("mb", "mb").alias("intra_b"),
-        V.dot("ma", "mb").alias("cross"))
+    """V7 + V8 on dense vectors for groups 'A' and 'B' in closed form; both groups' means
+    come from one aggregate by dimension."""
+    of = lambda g, c: F.when(F.col(grp) == g, F.col(c))
+    m = df.select(grp, F.posexplode(V.unit(vec)).alias("i", "x")).groupBy("i").agg(
+        F.avg(of("A", "x")).alias("a"), F.avg(of("B", "x")).alias("b"), F.count(of("A", "x")).alias("n_a"), F.count(of("B", "x")).alias("n_b"))
+    r = m.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), *[
+        F.sum(F.col(x) * F.col(y)).alias(name) for x, y, name in (("a", "a", "intra_a"), ("b", "b", "intra_b"), ("a", "b", "cross"))])
     gap = (F.least("intra_a", "intra_b") if mode == "min"
            else (F.col("intra_a") + F.col("intra_b")) / 2) - F.col("cross")
     return r.withColumn("gap", gap).where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))

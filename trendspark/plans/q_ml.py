@@ -23,9 +23,12 @@ def _lda_input(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = d.select("doc_id", T.word_tokens(T.clean_alpha("text")).alias("wt"))
     d = textops.remove_stops(d, "wt", "tokens", bow.english_stops())
+    d = cut_lineage(d.select("doc_id", "tokens"), "lda-tokens")  # read by the fit and by its transform
     cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=2.0, maxDF=0.95)
     m = cv.fit(d)
-    return cut_lineage(m.transform(d).select("doc_id", "features")), m
+    feats = m.transform(d).select("doc_id", "features")
+    # every iteration reads them all: spread over the tasks, whatever the number of files
+    return cut_lineage(feats.repartition("doc_id"), "lda-features"), m
 
 
 @register("lda_topics")
@@ -56,7 +59,7 @@ def lda_weighted(spark, sf_dir):
     # the product of a number and a vector, in the JVM and sparse
     wf = (Interaction(inputCols=["w", "features"], outputCol="scaled").transform(feats.join(w, "doc_id"))
           .select("doc_id", F.col("scaled").alias("features")))
-    wf = cut_lineage(wf)
+    wf = cut_lineage(wf.repartition("doc_id"), "lda-weighted")
     plain = ml.lda_assign(ml.lda_fit(feats, LDA_K, LDA_ITER), feats, LDA_K).agg(F.avg("confidence").alias("p"))
     weighted = ml.lda_assign(ml.lda_fit(wf, LDA_K, LDA_ITER), wf, LDA_K).agg(F.avg("confidence").alias("wgt"))
     r = plain.crossJoin(weighted)
@@ -249,8 +252,9 @@ def ablation(spark, sf_dir):
     from trendspark.plans.q_quality import group_separation
     from trendspark.plans.q_bow import vocab_for
     from trendspark.plans.q_vectors import cohorts, tdv
+    from trendspark.plans.views import topic_docs
     base = group_separation(spark, sf_dir).where(F.col("representation") != "time_augmented")
-    c = cohorts(spark, sf_dir)
+    c = cut_lineage(cohorts(tdv(spark, sf_dir)).select("doc_id", "grp", "v"), "cohorts")
     _, proj = ml.truncated_svd(c.select("doc_id", "grp", V.unit("v").alias("u")), "u", 16)
     svd = vecops.vector_separation(proj, "grp", "reduced").select(
         F.lit("embedding_svd16").alias("representation"), F.col("n_a").cast("long"), F.col("n_b").cast("long"),
@@ -261,7 +265,7 @@ def ablation(spark, sf_dir):
     svd = svd.unionByName(vecops.vector_separation(reduced, "grp", "reduced").select(
         F.lit("bow_svd16").alias("representation"), F.col("n_a").cast("long"), F.col("n_b").cast("long"),
         *[F.round(x, 6).alias(x) for x in ("intra_a", "intra_b", "cross", "gap")]))
-    d = tdv(spark, sf_dir).where(F.col("topic") != -1)
+    d = topic_docs(spark, sf_dir).where(F.col("topic") != -1).select("topic", "year")
     big = d.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(1)
     yc = d.join(F.broadcast(big.select("topic")), "topic").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     g = yc.withColumn("growth", F.try_divide((F.col("n") - F.lag("n").over(Window.orderBy("year"))) * 100.0,

@@ -15,7 +15,7 @@ from trendspark.operators import bow, events as E, topics as TP, trend
 from trendspark.plans.q_events import (LAYERED_LABELS, NEWS_SIGNALS_SQL, VERIFY_SQL, news_signals, timeline_df,
                                        verification)
 from trendspark.plans.q_quality import _merge
-from trendspark.plans.q_vectors import PURITY_SQL, _mean_sql, _unit_sql, features_df, tdv, whole, whole_sql
+from trendspark.plans.q_vectors import PURITY_SQL, _mean_sql, _unit_sql, features_df
 from trendspark.plans.registry import register
 from trendspark.plans.views import articles
 from trendspark.rules import GROUND_TRUTH_VERIFIED
@@ -23,7 +23,7 @@ from trendspark.sources.tables import table
 
 FEAT_SQL = PURITY_SQL + ",\n" + _mean_sql(
     f"(SELECT topic, {_unit_sql('v')} AS u FROM tdv WHERE topic <> -1)", "topic", "u", "tm") + """,
-sz AS (SELECT topic, count(*) AS size FROM tdv WHERE topic <> -1 GROUP BY topic),
+sz AS (SELECT topic, count(*) AS size FROM topic_docs WHERE topic <> -1 GROUP BY topic),
 feat AS (SELECT sz.topic AS topic_id, ln(greatest(sz.size, 2)) AS log_size,
                 list_sum(list_transform(tm.mean, lambda x: x * x)) AS coherence, coalesce(pur.purity, 0) AS purity
          FROM sz JOIN tm ON tm.topic = sz.topic LEFT JOIN pur ON pur.topic = sz.topic WHERE tm.n >= 2)"""
@@ -42,22 +42,16 @@ SELECT pk.topic_id, round(pk.max_velocity, 6) AS max_velocity, CAST(pk.peak_clas
        round(f.purity, 6) AS purity, round(f.log_size, 6) AS log_size,
        len(list_filter({GT_KW_SQL}, lambda k: contains(lower(pk.topic_label), k) OR contains(lower(coalesce(pk.raw_label, '')), k))) > 0 AS label
 FROM pk JOIN feat f ON f.topic_id = pk.topic_id""")
-def classifier_features(spark, sf_dir, docs=tdv):
+def classifier_features(spark, sf_dir):
     """V31 + J7 + V30: per topic the peak velocity, class code at the peak
     (earliest year on ties), non-zero years, joined (inner) to the topic
     features; label = any ground-truth keyword in the label or raw label."""
-    return features_table(spark, sf_dir, docs).select(
+    return features_table(spark, sf_dir).select(
         "topic_id", F.round("max_velocity", 6).alias("max_velocity"), "peak_class_code", "nonzero_years",
         *[F.round(c, 6).alias(c) for c in ("coherence", "purity", "log_size")], "label")
 
 
-@register("classifier_features_whole", whole_sql("classifier_features"))
-def classifier_features_whole(spark, sf_dir):
-    """``classifier_features`` with the size and purity of all articles."""
-    return classifier_features(spark, sf_dir, whole)
-
-
-def features_table(spark, sf_dir, docs=tdv):
+def features_table(spark, sf_dir):
     s = news_signals(spark, sf_dir)
     pk = s.groupBy("topic_id").agg(
         F.max("velocity").alias("max_velocity"),
@@ -69,7 +63,7 @@ def features_table(spark, sf_dir, docs=tdv):
                    | F.contains(F.lower(F.coalesce("raw_label", F.lit(""))), k))
     pk = pk.select("topic_id", "max_velocity", trend.class_code(F.col("_pc")).alias("peak_class_code"),
                    "nonzero_years", lab.alias("label"))
-    return pk.join(features_df(spark, sf_dir, docs), "topic_id")
+    return pk.join(features_df(spark, sf_dir), "topic_id")
 
 
 FEATURES = ["max_velocity", "peak_class_code", "nonzero_years", "coherence", "purity", "log_size"]
@@ -107,7 +101,7 @@ def event_classifier(spark, sf_dir):
     """Calibrated boosted trees on the topic feature table; refuses fewer
     than 6 rows or 2 positives (returns no rows)."""
     from trendspark.session import cut_lineage
-    ft = cut_lineage(features_table(spark, sf_dir, whole))  # one row per topic; read by every fold fit
+    ft = cut_lineage(features_table(spark, sf_dir))  # one row per topic; read by every fold fit
     st = ft.agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("pos")).first()
     schema = "topic_id int, label boolean, probability double, verdict string"
     if st["n"] < 6 or st["pos"] < 2:
@@ -133,7 +127,7 @@ def classifier_probs(spark, sf_dir, sig=None):
     """Probabilities of ``event_classifier``'s model, or None where it refuses: by topic, or by topic
     and year from the signals of the year (V35) if ``sig`` is given."""
     from trendspark.session import cut_lineage
-    ft = cut_lineage(features_table(spark, sf_dir, whole))
+    ft = cut_lineage(features_table(spark, sf_dir))
     st = ft.agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("pos")).first()
     if st["n"] < 6 or st["pos"] < 2:
         return None

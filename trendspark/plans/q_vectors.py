@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
@@ -11,7 +9,7 @@ from trendspark.functions import timefn as D
 from trendspark.functions import vectors as V
 from trendspark.operators import sampling, vecops
 from trendspark.plans import sqlfrag as S
-from trendspark.plans.registry import ORACLES, register
+from trendspark.plans.registry import register
 from trendspark.plans.views import TOPIC_DOCS_CTE, topic_docs, with_ctes
 from trendspark.sources.tables import table
 
@@ -46,16 +44,6 @@ def tdv(spark, sf_dir):
             .select("doc_id", "topic", "year", "date", "category", "text", V.as_double("embedding").alias("v")))
 
 
-def whole(spark, sf_dir):
-    """All articles with a topic, for the ``*_whole`` queries, whose counts use no vector."""
-    return topic_docs(spark, sf_dir).select("doc_id", "topic", "year", "date", "category", "text")
-
-
-def whole_sql(name: str) -> str:
-    """The statement of a query with its counts over all articles; mean vectors stay on ``tdv``."""
-    return re.sub(r"(?<! AS u )FROM tdv", "FROM topic_docs", ORACLES[name].replace("topic, v, '", "topic, '"))
-
-
 # ------------------------------------------------------------------ time features
 
 @register("time_encoding", TD + f""",
@@ -78,15 +66,15 @@ def time_encoding(spark, sf_dir):
 N_TIME_BINS = 11
 
 
-@register("time_bins", TD + f""",
-d AS (SELECT topic, date - (SELECT min(date) FROM tdv) AS t FROM tdv),
+@register("time_bins", with_ctes(TOPIC_DOCS_CTE) + f""",
+d AS (SELECT topic, date - (SELECT min(date) FROM topic_docs) AS t FROM topic_docs),
 m AS (SELECT max(t) AS mx FROM d)
 SELECT topic, CAST(least(floor(t * {N_TIME_BINS} / greatest(mx, 1)) + 1, {N_TIME_BINS}) AS INTEGER) AS bin,
        CAST(count(*) AS BIGINT) AS n FROM d, m GROUP BY 1, 2""")
 def time_bins(spark, sf_dir):
     """11 equal-width, left-closed time bins over the corpus span (last
-    bin closed); topic frequency per bin."""
-    d = tdv(spark, sf_dir)
+    bin closed); topic frequency per bin over all articles."""
+    d = topic_docs(spark, sf_dir).select("topic", "date")
     mm = d.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
     x = d.crossJoin(F.broadcast(mm)).select(
         "topic", F.datediff("date", "d0").alias("t"), F.datediff("d1", "d0").alias("mx"))
@@ -99,26 +87,28 @@ def time_bins(spark, sf_dir):
 COHORT_CUT = 2017
 PATTERN_A = "tion|ment"
 PATTERN_B = "eaux|ouen"
-COHORT_SQL = TD + f""",
-coh AS (SELECT doc_id, topic, v, 'A' AS grp FROM tdv WHERE year < {COHORT_CUT} AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_A}')
-        UNION ALL
-        SELECT doc_id, topic, v, 'B' FROM tdv WHERE year >= {COHORT_CUT} AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_B}'))"""
+COHORT_SQL = with_ctes(TOPIC_DOCS_CTE) + f""",
+coh AS (SELECT * FROM (SELECT doc_id, topic, date, embedding,
+                              CASE WHEN year < {COHORT_CUT} AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_A}') THEN 'A'
+                                   WHEN year >= {COHORT_CUT} AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_B}') THEN 'B' END AS grp
+                       FROM topic_docs) WHERE grp IS NOT NULL)"""
 
 
-def cohorts(spark, sf_dir, docs=tdv):
-    d = docs(spark, sf_dir).withColumn("_c", T.clean_alnum("text"))
-    a = d.where((F.col("year") < COHORT_CUT) & F.col("_c").rlike(PATTERN_A)).withColumn("grp", F.lit("A"))
-    b = d.where((F.col("year") >= COHORT_CUT) & F.col("_c").rlike(PATTERN_B)).withColumn("grp", F.lit("B"))
-    return a.unionByName(b).drop("_c")
+def cohorts(docs):
+    """``docs`` with ``grp``, in one scan; articles of neither cohort go."""
+    c = T.clean_alnum("text")
+    grp = (F.when((F.col("year") < COHORT_CUT) & c.rlike(PATTERN_A), "A")
+           .when((F.col("year") >= COHORT_CUT) & c.rlike(PATTERN_B), "B"))
+    return docs.withColumn("grp", grp).where(F.col("grp").isNotNull())
 
 
 @register("era_cohorts", COHORT_SQL + """,
 c AS (SELECT grp, topic, count(*) AS n FROM coh GROUP BY 1, 2),
 r AS (SELECT grp, topic, n, row_number() OVER (PARTITION BY grp ORDER BY n DESC, topic) AS rk FROM c)
 SELECT grp, CAST(rk AS INTEGER) AS rank, topic, CAST(n AS BIGINT) AS n FROM r WHERE rk <= 5""")
-def era_cohorts(spark, sf_dir, docs=tdv):
+def era_cohorts(spark, sf_dir):
     """P5 + A13: year-and-pattern cohorts (substring patterns), top 5 topics each."""
-    c = cohorts(spark, sf_dir, docs).groupBy("grp", "topic").agg(F.count(F.lit(1)).alias("n"))
+    c = cohorts(topic_docs(spark, sf_dir)).groupBy("grp", "topic").agg(F.count(F.lit(1)).alias("n"))
     return sampling.first_k(c, "grp", [F.desc("n"), F.col("topic")], 5, "rank").select(
         "grp", F.col("rank").cast("int"), "topic", "n")
 
@@ -128,37 +118,24 @@ c AS (SELECT grp, topic, count(*) AS n FROM coh WHERE topic <> -1 GROUP BY 1, 2)
 m AS (SELECT grp, first(topic ORDER BY n DESC, topic) AS top FROM c GROUP BY grp),
 g AS (SELECT coalesce((SELECT top FROM m WHERE grp = 'A'), -1) AS top_a,
              coalesce((SELECT top FROM m WHERE grp = 'B'), -1) AS top_b),
-fb AS (SELECT topic, count(*) AS n FROM tdv WHERE year < 2020 AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_A}')
+fb AS (SELECT topic, count(*) AS n FROM topic_docs WHERE year < 2020 AND regexp_matches({S.clean_alnum('text')}, '{PATTERN_A}')
        AND topic <> -1 GROUP BY topic)
 SELECT top_a, top_b, top_a <> top_b AND top_a <> -1 AND top_b <> -1 AS separated,
        coalesce((SELECT first(topic ORDER BY n DESC, topic) FROM fb), -1) AS fallback_topic FROM g""")
-def cohort_separated(spark, sf_dir, docs=tdv):
+def cohort_separated(spark, sf_dir):
     """A11 + A12 + P6: modal non-outlier topic per cohort (-1 if none), the
-    separation test, and the fallback cohort's modal topic (three conjuncts)."""
-    c = cohorts(spark, sf_dir, docs).where(F.col("topic") != -1).groupBy("grp", "topic").agg(F.count(F.lit(1)).alias("n"))
-    m = c.groupBy("grp").agg(F.max_by("topic", F.struct(F.col("n"), -F.col("topic"))).alias("top"))
-    g = m.agg(F.coalesce(F.max(F.when(F.col("grp") == "A", F.col("top"))), F.lit(-1)).alias("top_a"),
-              F.coalesce(F.max(F.when(F.col("grp") == "B", F.col("top"))), F.lit(-1)).alias("top_b"))
-    d = docs(spark, sf_dir)
-    fb = (d.where((F.col("year") < 2020) & T.clean_alnum("text").rlike(PATTERN_A) & (F.col("topic") != -1))
-          .groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-          .agg(F.max_by("topic", F.struct(F.col("n"), -F.col("topic"))).alias("fallback_topic")))
-    return g.crossJoin(fb).select(
-        "top_a", "top_b",
-        ((F.col("top_a") != F.col("top_b")) & (F.col("top_a") != -1) & (F.col("top_b") != -1)).alias("separated"),
-        F.coalesce("fallback_topic", F.lit(-1)).alias("fallback_topic"))
-
-
-@register("era_cohorts_whole", whole_sql("era_cohorts"))
-def era_cohorts_whole(spark, sf_dir):
-    """``era_cohorts`` over all articles, with or without an embedding."""
-    return era_cohorts(spark, sf_dir, whole)
-
-
-@register("cohort_separated_whole", whole_sql("cohort_separated"))
-def cohort_separated_whole(spark, sf_dir):
-    """``cohort_separated`` over all articles."""
-    return cohort_separated(spark, sf_dir, whole)
+    separation test, and the fallback cohort's modal topic (three conjuncts), from
+    one scan of all articles."""
+    c = T.clean_alnum("text")
+    d = topic_docs(spark, sf_dir).where(F.col("topic") != -1).select("topic", "year", c.rlike(PATTERN_A).alias("a"),
+                                                                     c.rlike(PATTERN_B).alias("b"))
+    of = {"top_a": (F.col("year") < COHORT_CUT) & F.col("a"), "top_b": (F.col("year") >= COHORT_CUT) & F.col("b"),
+          "fallback_topic": (F.col("year") < 2020) & F.col("a")}
+    n = d.groupBy("topic").agg(*[F.count(F.when(test, 1)).alias(name) for name, test in of.items()])
+    modal = n.agg(*[F.coalesce(F.max_by("topic", F.when(F.col(name) > 0, F.struct(F.col(name), -F.col("topic")))), F.lit(-1)).alias(name)
+                    for name in of])
+    separated = (F.col("top_a") != F.col("top_b")) & (F.col("top_a") != -1) & (F.col("top_b") != -1)
+    return modal.select("top_a", "top_b", separated.alias("separated"), "fallback_topic")
 
 
 # ------------------------------------------------------------------ centroids and neighbours
@@ -254,7 +231,7 @@ def topic_coherence(spark, sf_dir):
 
 
 PURITY_SQL = TD + """,
-pc AS (SELECT topic, category, count(*) AS n FROM tdv WHERE topic <> -1 GROUP BY 1, 2),
+pc AS (SELECT topic, category, count(*) AS n FROM topic_docs WHERE topic <> -1 GROUP BY 1, 2),
 pt AS (SELECT topic, sum(n) AS size, max(n) AS top_n, first(category ORDER BY n DESC, category) AS top_category
        FROM pc GROUP BY topic HAVING sum(n) >= 5),
 pur AS (SELECT topic, top_category, top_n * 1.0 / size AS purity, size FROM pt)"""
@@ -264,17 +241,17 @@ pur AS (SELECT topic, top_category, top_n * 1.0 / size AS purity, size FROM pt)"
 SELECT topic, top_category, round(purity, 6) AS purity, round(purity * 100, 4) AS purity_pct,
        CASE WHEN purity >= 0.6 THEN 'high' WHEN purity >= 0.4 THEN 'mid' ELSE 'low' END AS band,
        CAST(size AS BIGINT) AS size FROM pur""")
-def topic_purity(spark, sf_dir, docs=tdv):
+def topic_purity(spark, sf_dir):
     """A9 + A10 + D13: dominant category (ties by name), its share, size;
     topics under 5 documents skipped."""
-    p = purity_df(spark, sf_dir, docs)
+    p = purity_df(spark, sf_dir)
     return p.select("topic", "top_category", F.round("purity", 6).alias("purity"),
                     F.round(F.col("purity") * 100, 4).alias("purity_pct"), D.purity_band("purity").alias("band"),
                     F.col("size").cast("long"))
 
 
-def purity_df(spark, sf_dir, docs=tdv):
-    d = docs(spark, sf_dir).where(F.col("topic") != -1)
+def purity_df(spark, sf_dir):
+    d = topic_docs(spark, sf_dir).where(F.col("topic") != -1)
     pc = d.groupBy("topic", "category").agg(F.count(F.lit(1)).alias("n"))
     pt = pc.groupBy("topic").agg(F.sum("n").alias("size"), F.max("n").alias("top_n"),
                                  F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("top_category"))
@@ -287,10 +264,10 @@ def purity_df(spark, sf_dir, docs=tdv):
 coh AS (SELECT topic, list_sum(list_transform(mean, lambda x: x * x)) AS c FROM tm WHERE n >= 2)
 SELECT 'coherence' AS metric, round(avg(c), 6) AS mean, round(min(c), 6) AS min, round(max(c), 6) AS max FROM coh
 UNION ALL SELECT 'purity', round(avg(purity), 6), round(min(purity), 6), round(max(purity), 6) FROM pur""")
-def metric_summary(spark, sf_dir, docs=tdv):
+def metric_summary(spark, sf_dir):
     """Mean, min, max of coherence and of purity over topics."""
     c = vecops.group_coherence(tdv(spark, sf_dir).where(F.col("topic") != -1), "topic", "v")
-    p = purity_df(spark, sf_dir, docs)
+    p = purity_df(spark, sf_dir)
 
     def summ(df, col, name):
         return df.agg(F.lit(name).alias("metric"), F.round(F.avg(col), 6).alias("mean"),
@@ -300,46 +277,28 @@ def metric_summary(spark, sf_dir, docs=tdv):
 
 @register("topic_features", PURITY_SQL + ",\n" + _mean_sql(
     f"(SELECT topic, {_unit_sql('v')} AS u FROM tdv WHERE topic <> -1)", "topic", "u", "tm") + """,
-sz AS (SELECT topic, count(*) AS size FROM tdv WHERE topic <> -1 GROUP BY topic)
+sz AS (SELECT topic, count(*) AS size FROM topic_docs WHERE topic <> -1 GROUP BY topic)
 SELECT sz.topic AS topic_id, round(ln(greatest(sz.size, 2)), 6) AS log_size,
        round(list_sum(list_transform(tm.mean, lambda x: x * x)), 6) AS coherence,
        round(coalesce(pur.purity, 0), 6) AS purity
 FROM sz JOIN tm ON tm.topic = sz.topic LEFT JOIN pur ON pur.topic = sz.topic WHERE tm.n >= 2""")
-def topic_features(spark, sf_dir, docs=tdv):
+def topic_features(spark, sf_dir):
     """ln(max(size, 2)), coherence and purity per topic (purity 0 when
     the topic is too small for it)."""
-    return features_df(spark, sf_dir, docs).select(
+    return features_df(spark, sf_dir).select(
         "topic_id", *[F.round(c, 6).alias(c) for c in ("log_size", "coherence", "purity")])
 
 
-def features_df(spark, sf_dir, docs=tdv):
+def features_df(spark, sf_dir):
     d = tdv(spark, sf_dir).where(F.col("topic") != -1)
-    sz = docs(spark, sf_dir).where(F.col("topic") != -1).groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
+    sz = topic_docs(spark, sf_dir).where(F.col("topic") != -1).groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
     c = vecops.group_coherence(d, "topic", "v").select("topic", "coherence")
-    p = purity_df(spark, sf_dir, docs).select("topic", "purity")
+    p = purity_df(spark, sf_dir).select("topic", "purity")
     return (sz.join(c, "topic").join(p, "topic", "left")
             .select(F.col("topic").alias("topic_id"), F.log(F.greatest("size", F.lit(2))).alias("log_size"),
                     "coherence", F.coalesce("purity", F.lit(0.0)).alias("purity")))
 
 
-@register("topic_purity_whole", whole_sql("topic_purity"))
-def topic_purity_whole(spark, sf_dir):
-    """``topic_purity`` over all articles."""
-    return topic_purity(spark, sf_dir, whole)
-
-
-@register("metric_summary_whole", whole_sql("metric_summary"))
-def metric_summary_whole(spark, sf_dir):
-    """``metric_summary`` with the purity of all articles."""
-    return metric_summary(spark, sf_dir, whole)
-
-
-@register("topic_features_whole", whole_sql("topic_features"))
-def topic_features_whole(spark, sf_dir):
-    """``topic_features`` with the size and purity of all articles; coherence takes those with a vector."""
-    return topic_features(spark, sf_dir, whole)
-
-
 @register("hard_negatives", CENT_SQL + f""",
 o AS (SELECT doc_id, {_unit_sql('v')} AS u FROM tdv WHERE topic = -1),
 s AS (SELECT o.doc_id, cent.topic, {_dot_sql('o.u', 'cent.c')} AS sim FROM o, cent),
