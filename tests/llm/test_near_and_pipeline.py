@@ -117,3 +117,29 @@ def test_pipeline_keeps_what_its_stages_decide(spark):
         tokens[r["doc_id"]] += r["length"]
         total[r["doc_id"]] = r["doc_tokens"]
     assert {d: t / total[d] for d, t in tokens.items()} == copies
+
+
+def test_every_row_names_a_row_it_was_verified_against(spark):
+    rows = corpus(seed=4, n=14) + [(700, "same words here"), (701, "same  words here"), (702, "alone")]
+    text = dict(rows)
+    got = {r["id"]: r for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, r in got.items():
+        if r["class_size"] == 1:
+            assert r["link_id"] is None and r["link_similarity"] is None
+            continue
+        other = r["link_id"]
+        if other is None:  # the first of rows that only have equal words
+            assert words_of(text[d]) in [words_of(t) for e, t in rows if e != d]
+            continue
+        assert got[other]["class_id"] == r["class_id"] and other != d
+        a, b = words_of(text[d]), words_of(text[other])
+        assert r["link_similarity"] == pytest.approx(1.0 if a == b else similarity(shingles(a), shingles(b)), abs=1e-9)
+        assert r["link_similarity"] >= near_dedup.THRESHOLD
+
+
+def test_hot_keys_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_KEYS", 10)
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    table = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    got = near_dedup.keyed_join(rows, table, "key").collect()
+    assert len(got) == 1000 and all(r["value"] == 2 * r["key"] for r in got)

@@ -329,7 +329,48 @@ def test_short_notices_alone(spark):
     data = spark.createDataFrame([(i, f"on the {t} she said") for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan(data).collect()}
     for i, (t, want) in enumerate(texts.items()):
-        assert (got[i]["labels"], got[i]["score"]) == (want, float(want != "")), t
+        named = licenses.MENTIONED if t.startswith("Under the BSD") else float(want != "")
+        assert (got[i]["labels"], got[i]["score"]) == (want, named), t
+
+
+def test_every_notice_alone_and_in_a_text(spark):
+    filler = " ".join(f"filler{i}" for i in range(40))
+    every = [(label, body, 1.0) for label, body in licenses.TEMPLATES] + [(label, body, licenses.MENTIONED) for label, body in licenses.MENTIONS]
+    rows = [(i, side + body + side) for i, (_, body, _) in enumerate(every) for side in ("", f" {filler} ")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        label, body, score = every[r["doc_id"]]
+        base = set(brute_base(body)[4].split(",")) - {""}
+        assert set(r["labels"].split(",")) == base | {label}, (body, r["labels"])
+        assert r["score"] == score or base and r["score"] >= licenses.MENTIONED, body
+
+
+def test_a_mention_scores_less_than_a_grant(spark):
+    texts = ["we talked about the GNU Lesser General Public License and its critics",
+             "this file is licensed under the GNU Lesser General Public License", "a talk on the mit license", "SPDX-License-Identifier: MIT",
+             "SPDX-License-Identifier: GPL-3.0-only", "Licensed under CC0 1.0 Universal.", "SPDX-License-Identifier: Foo", "the EUPL"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in
+           licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [("lgpl", 0.5), ("lgpl", 1.0), ("mit", 0.5), ("mit", 1.0), ("gpl", 1.0), ("cc0", 1.0),
+                                                   ("", 0.0), ("", 0.0)]
+
+
+def test_labels_of_documents_agree_with_plain_word_search(spark):
+    """A notice that stands in a text word for word gives its label, or one that holds all its words; a label
+    comes from a base phrase or from a notice of which most k-grams are in the text."""
+    documents = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    every = [(label, plain(body)) for label, body in licenses.TEMPLATES + licenses.MENTIONS]
+    for r in licenses.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        words, labels = plain(documents[r["doc_id"]]), set(r["labels"].split(",")) - {""}
+        joined, grams = f" {' '.join(words)} ", set(zip(words, words[1:], words[2:]))
+        there = [(label, t) for label, t in every if f" {' '.join(t)} " in joined]
+        for label, t in there:
+            assert label in labels or any(f" {' '.join(t)} " in f" {' '.join(o)} " for other, o in there if other in labels and other != label)
+        for label in labels - (set(r["base_labels"].split(",")) - {""}):
+            shares = [sum(g in grams for g in zip(t, t[1:], t[2:])) / (len(t) - 2) for other, t in every if other == label]
+            assert max(shares) >= 0.6
 
 
 def test_licenses_are_told_apart(spark):
@@ -345,7 +386,8 @@ def test_licenses_are_told_apart(spark):
              cc.format("Attribution-NonCommercial-NoDerivatives").replace("a Creative", "one Creative"): "cc-by-nc-nd",
              gnu.format(""): "gpl", gnu.format("Lesser "): "lgpl", gnu.format("Affero "): "agpl",
              "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0.": "cc-by,cc-by-nc-nd",
-             "This project is licensed under the terms of the ISC license.": "",
+             "This project is licensed under the terms of the ISC license.": "isc",
+             "This project is licensed under the terms of the Foo license.": "",
              "Released under the MIT License. " * 5: "mit", "All rights reserved. " + bsd: "bsd", body[0]: "mit"}
     data = spark.createDataFrame([(i, f"words before {t} and after") for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(data.union(data.where("doc_id = 1"))).collect()}

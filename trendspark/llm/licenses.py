@@ -65,24 +65,74 @@ TEMPLATES = (
     ("bsd", "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are "
             "permitted provided that the following conditions are met: Redistributions of source code must retain the above "
             "copyright notice"),
-    # Short notices; three words are one k-gram.
     ("proprietary", "All rights reserved."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+             "General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+             "General Public License as published by the Free Software Foundation"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+             "Documentation License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+              "and accompanying documentation covered by this license"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("eupl", "Licensed under the European Union Public Licence (EUPL)"),
+    ("eupl", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission"),
+    ("cc0", "Licensed under CC0 1.0 Universal."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+            "work"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+             "liable for any damages arising from the use of this software"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("odbl", "This database is made available under the Open Database License"),
+    ("artistic", "This program is free software; you can redistribute it under the terms of the Artistic License"),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("public-domain", "This work has been released into the public domain by its author"),
+    # Short grants.
+    *((f"cc-by{part}", f"Licensed under CC BY{part.upper()}") for part in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")),
+    *((label, f"licensed under the {name}") for label, name in (
+        ("lgpl", "GNU Lesser General Public License"), ("agpl", "GNU Affero General Public License"), ("mpl", "Mozilla Public License"),
+        ("epl", "Eclipse Public License"), ("isc", "terms of the ISC license"), ("isc", "ISC license"))),
+    # Identifier lines.
+    *((label, f"SPDX-License-Identifier: {name}") for name, label in (
+        ("MIT", "mit"), ("Apache", "apache"), ("GPL", "gpl"), ("LGPL", "lgpl"), ("AGPL", "agpl"), ("BSD", "bsd"), ("ISC", "isc"),
+        ("MPL", "mpl"), ("BSL", "boost"), ("EPL", "epl"), ("EUPL", "eupl"), ("CC0", "cc0"), ("Zlib", "zlib"),
+        ("Unlicense", "unlicense"), ("WTFPL", "wtfpl"), ("CC-BY-4.0", "cc-by"), ("CC-BY-SA-4.0", "cc-by-sa"))),
+)
+
+# --- fixed values: names of licenses, which a text may mention without being under them ---
+MENTIONS = (
     ("cc-by-sa", "CC BY-SA"),
     ("cc-by-nc", "CC BY-NC"),
     ("cc-by-nd", "CC BY-ND"),
     ("cc-by-nc-sa", "CC BY-NC-SA"),
     ("cc-by-nc-nd", "CC BY-NC-ND"),
+    ("cc0", "CC0 1.0 Universal"),
     ("lgpl", "GNU Lesser General Public License"),
     ("agpl", "GNU Affero General Public License"),
+    ("gfdl", "GNU Free Documentation License"),
     ("mpl", "Mozilla Public License"),
+    ("epl", "Eclipse Public License"),
+    ("eupl", "European Union Public Licence"),
+    ("boost", "Boost Software License"),
+    ("ofl", "SIL Open Font License"),
+    ("odbl", "Open Database License"),
+    ("cddl", "Common Development and Distribution License"),
     ("bsd", "BSD 2-Clause License"),
     ("bsd", "BSD 3-Clause License"),
+    ("isc", "under the ISC License"),
+    ("isc", "ISC License Copyright"),
 )
+MENTIONED = 0.5  # score of a name without a notice
 
 # --- fixed values: names that a span must hold if its template does, and the words that make another
 # license of the same name, which it must hold or lack as its template does ---
-NAMES = {"mit": (), "apache": (), "bsd": (), "mozilla": (), "gnu": ("lesser", "affero", "library"),
-         "cc": ("sa", "nc", "nd"),
+NAMES = {"mit": (), "apache": (), "bsd": (), "mozilla": (), "isc": (), "boost": (), "eclipse": (), "eupl": (), "cc0": (),
+         "gpl": (), "lgpl": (), "agpl": (), "mpl": (), "bsl": (), "epl": (), "zlib": (), "unlicense": (), "wtfpl": (),
+         "gnu": ("lesser", "affero", "library"), "cc": ("sa", "nc", "nd"), "organization": (), "font": (), "licensed": (), "spdx": (),
          "commons": ("sharealike", "alike", "noncommercial", "commercial", "noderivatives", "noderivs", "derivatives", "derivs")}
 
 
@@ -104,7 +154,7 @@ def grams(rows: DataFrame, words: Column, keep: list[str], k: int = K) -> DataFr
     return zipped.where(cells[-1].isNotNull()).select(*keep, "at", F.xxhash64(*cells).alias("gram"))
 
 
-def template_grams(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
+def template_grams(spark, templates, k: int = K) -> DataFrame:
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)],
                                  "template int, label string, body string")
     table = grams(rows, words_of(F.col("body")), ["template", "label"], k).withColumnRenamed("at", "t_at")
@@ -120,7 +170,7 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = K,
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + MENTIONS, k: int = K,
                   gap: int = 4, coverage: float = 0.6) -> DataFrame:
     """Verified spans: the identifier, ``key`` (hash of the text), ``label``, ``template``,
     ``first_word``, ``last_word`` (start of the last k-gram), ``covered`` (share of
@@ -156,7 +206,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.select(F.col("id").alias(id_col), "key", "label", "template", "first_word", "last_word", "covered")
 
 
-def template_words(spark, templates=TEMPLATES) -> DataFrame:
+def template_words(spark, templates) -> DataFrame:
     """``t_words`` of every template, and those a span of it must hold (``need``) or lack (``foreign``)."""
     rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "template int, body string")
     rows = rows.select("template", F.array_distinct(words_of(F.col("body"))).alias("t_words"))
@@ -214,17 +264,21 @@ def best_spans(spans: DataFrame, k: int) -> DataFrame:
         "id", "key", "s.*")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = K) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, mentions=MENTIONS,
+         k: int = K) -> DataFrame:
     """One row per input row: the identifier, ``n_words``, ``n_base``, ``first_word``,
-    ``last_word`` (of the base), ``base_labels``, ``labels`` and ``score`` (1 with a
-    base phrase, else the largest share of a template found).
+    ``last_word`` (of the base), ``base_labels``, ``labels`` and ``score``: the largest share
+    of a notice found, but ``MENTIONED`` at least where a license is named, by a base
+    phrase or otherwise. A bare name, which a text may only talk about, so scores
+    less than a grant.
 
     Null and empty texts have no words and no labels. Rows that repeat get equal
     rows. Other columns are not read. An empty table gives an empty result.
     """
-    spans = (license_spans(docs, id_col, text_col, templates, k)
+    strength = F.when(F.col("template") < len(templates), F.col("covered")).otherwise(MENTIONED)
+    spans = (license_spans(docs, id_col, text_col, tuple(templates) + tuple(mentions), k)
              .groupBy(F.col(id_col).alias("s_id"), F.col("key").alias("s_key"))
-             .agg(F.collect_set("label").alias("found"), F.max("covered").alias("covered")))
+             .agg(F.collect_set("label").alias("found"), F.max(strength).alias("covered")))
     spans = cut_lineage(spans, "license-spans")
     words = words_of(F.col(text_col))
     low = F.translate(text_or_empty(F.col(text_col)), UPPER, LOWER)
@@ -245,4 +299,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.array_min(all_places).alias("first_word"), F.array_max(all_places).alias("last_word"),
         F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_union(base, F.coalesce("found", none)))).alias("labels"),
-        F.when(F.size(all_places) > 0, 1.0).otherwise(F.least(F.coalesce("covered", F.lit(0.0)), F.lit(1.0))).alias("score"))
+        F.greatest(F.when(F.size(all_places) > 0, MENTIONED).otherwise(0.0),
+                   F.least(F.coalesce("covered", F.lit(0.0)), F.lit(1.0))).alias("score"))

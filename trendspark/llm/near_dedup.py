@@ -49,6 +49,8 @@ SLOTS = BANDS * ROWS
 #: Estimates below are not verified: 5 standard errors (0.03) under the threshold.
 ESTIMATE = 0.65
 BLOCK = 1024  # members of a bucket that one task compares with as many others
+LINK = "a long, b long, similarity double"
+HOT_KEYS = 1000
 BITMAP = 1 << 26
 CACHED_WORDS = 250_000
 BATCH_WORDS = 250_000
@@ -338,7 +340,7 @@ def with_candidates(cells: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def links_in_cells(rows: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verified pairs (a, b) that connect the components in each cell of ``with_candidates``:
+    """Verified pairs (a, b, similarity) that connect the components in each cell of ``with_candidates``:
     candidates are tried from the highest estimate, and not if already connected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -361,17 +363,19 @@ def links_in_cells(rows: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: st
                 for k in np.argsort(-estimate, kind="stable"):
                     a, b = int(i[k]), int(j[k])
                     x, y = top(rows[a][4]), top(rows[b][4])
-                    if x != y and overlap(of(a), of(b)) >= THRESHOLD:
+                    if x != y and (similar := overlap(of(a), of(b))) >= THRESHOLD:
                         root[max(x, y)] = min(x, y)
-                        yield rows[a][3], rows[b][3]
+                        yield rows[a][3], rows[b][3], similar
 
-        yield from _batches(found(), ["a", "b"])
+        columns = list(zip(*found())) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                                          pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
 
     rows = cut_lineage(rows, "cells")
     texts = texts_of(rows.select("node").distinct(), sigs, docs, id_col, text_col)
     full = (rows.join(sigs.select("node", "size", "sig", "bands"), "node").join(texts, "node")
             .select(*_CELL, "size", "sig", "bands", "text"))
-    return cut_lineage(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"), "cell-links")
+    return cut_lineage(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINK), "cell-links")
 
 
 def texts_of(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -392,7 +396,7 @@ def texts_of(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' weighted Jaccard reaches THRESHOLD."""
+    """The pairs (a, b) of nodes whose texts' weighted Jaccard reaches THRESHOLD, and that ``similarity``."""
     pairs = cut_lineage(pairs, "candidates")
     texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), sigs, docs, id_col, text_col)
 
@@ -400,18 +404,20 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
         signer = Signer()
         sets = lru_cache(maxsize=16)(lambda text: signer.shingle_weights(words_of(text)))
         for batch in batches:
-            ok = [overlap(sets(x), sets(y)) >= THRESHOLD
-                  for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            similar = np.array([overlap(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], dtype=float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar)],
+                                             names=["a", "b", "similarity"]).filter(pa.array(similar >= THRESHOLD))
 
     joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
               .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
-    return cut_lineage(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    return cut_lineage(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK), "links")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id``, ``text_key``, ``class_id`` (smallest identifier of
-    the class) and ``class_size`` (rows).
+    the class), ``class_size`` (rows), ``link_id`` and ``link_similarity`` (a row of the class that this one
+    was verified against, of the tried ones the most similar, and their weighted
+    Jaccard; null for a row alone, and for the first of rows linked by equal words only).
 
     Rows of equal words (so all texts without words, null ones too) are one class;
     so are rows linked by similarities of THRESHOLD or more, over any number of
@@ -431,16 +437,39 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = sigs.select("node", "sig")
     star = (star.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
             .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a"))
-    labels = components(verified(likely(star), sigs, docs, id_col, text_col))
+    links = verified(likely(star), sigs, docs, id_col, text_col)
+    labels = components(links)
     rest = with_candidates(bucket_cells(mates, labels), sigs)
-    labels = components(links_in_cells(rest, sigs, docs, id_col, text_col), labels)
-
-    member = rows.select("id", "text_key", "node").join(labels, "node", "left").select(
-        "id", "text_key", F.coalesce("label", "node").alias("class"))
+    more = links_in_cells(rest, sigs, docs, id_col, text_col)
+    labels = components(more, labels)
+
+    both = links.unionByName(more)
+    both = both.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").unionByName(
+        both.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))
+    best = both.groupBy("node").agg(F.max(F.struct("similarity", "other")).alias("best")).select("node", "best.*")
+    first = sigs.select("node", F.col("id").alias("first_id"), F.col("text_key").alias("first_key"))
+    best = best.join(first.select(F.col("node").alias("other"), F.col("first_id").alias("other_id")), "other")
+    nodes = first.join(labels, "node", "left").join(best.select("node", "other_id", "similarity"), "node", "left").select(
+        "node", "first_id", "first_key", F.coalesce("label", "node").alias("class"), "other_id", "similarity")
+    # Rows of equal words are linked to the first of them, which has the link of its words.
+    copy = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    member = keyed_join(rows.select("id", "text_key", "node"), nodes, "node").select(
+        "id", "text_key", "class", F.when(copy, F.col("first_id")).otherwise(F.col("other_id")).alias("link_id"),
+        F.when(copy, 1.0).otherwise(F.col("similarity")).alias("link_similarity"))
     member = cut_lineage(member, "members")
     classes = member.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
                                           F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("kept"))
-    return member.join(classes, "class").select("id", "text_key", "class_id", "class_size", "kept")
+    return keyed_join(member, classes, "class").select("id", "text_key", "class_id", "class_size", "link_id", "link_similarity", "kept")
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the one row that ``table`` has for their ``key``. Keys that hold more than a
+    thousandth of all rows, at most ``HOT_KEYS``, are joined by broadcast, where the rows lie."""
+    sizes = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where(F.col("key_rows") > 1), "key-sizes")
+    hot = sizes.where(F.col("key_rows") * HOT_KEYS > rows.count()).select(key)
+    near = table.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(near), key).unionByName(
+        rows.join(F.broadcast(hot), key, "left_anti").join(table.join(F.broadcast(hot), key, "left_anti"), key))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -142,7 +142,7 @@ def op10_token_indexed_urls(spark, sf_dir):
 @query("op6_bagminhash_classes")
 def op6_bagminhash_classes(spark, sf_dir):
     found = near_dedup.near_classes(read(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "link_id", "link_similarity")
 
 
 @query("op5_crf_toxicity")
