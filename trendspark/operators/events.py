@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import timefn as D
 from trendspark.operators import trend
-from trendspark.rules import (GROUND_TRUTH_EVENT_NAMES, GROUND_TRUTH_EVENTS, GROUND_TRUTH_VERIFIED,
+from trendspark.rules import (MODEL_CATEGORIES, MODEL_REASONS, REASON_DICTIONARY, REASON_DICTIONARY_NOISE, REASON_EMERGING,
+                              REASON_GATE, REASON_LIFESTYLE, REASON_NONE, GROUND_TRUTH_EVENT_NAMES, GROUND_TRUTH_EVENTS, GROUND_TRUTH_VERIFIED,
                               LIFESTYLE_KEYWORDS, VERDICT_FLOOR, VERDICT_LEVELS)
 
 DICT_SCHEMA = "struct<timeline:array<struct<data:array<struct<date:string,value:double>>>>>"
@@ -214,7 +215,8 @@ def layered_verdict(topics: DataFrame, event_dict: DataFrame, signals: DataFrame
                     verification: DataFrame) -> DataFrame:
     """V34 + J11 + T16 on (topic_id, topic_label, confidence, prob?) rows:
     gate -> model -> event dictionary -> EMERGING and verified -> lifestyle
-    word -> UNCERTAIN. ``prob`` may be null (no model)."""
+    word -> UNCERTAIN. ``prob`` may be null (no model). Adds verdict, probability,
+    is_real_event, event name and category, the reason and the dictionary's years."""
     t = topics
     label_l = F.lower(F.col("topic_label"))
     # event dictionary: first keyword contained in the label
@@ -244,5 +246,15 @@ def layered_verdict(topics: DataFrame, event_dict: DataFrame, signals: DataFrame
     is_real = (F.when(gate, F.lit(None)).when(model, F.when(p >= 0.55, True).when(p >= 0.40, None).otherwise(False))
                .when(gt_real, True).when(gt, False).when(emv, True).when(life, False).otherwise(F.lit(None)))
     name = F.when(~gate & ~model & gt, F.col("_gt.event_name")).otherwise(F.col("topic_label"))
+    by_verdict = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[verdict(p)]
+    category = (F.when(gate, "unknown").when(model, by_verdict(MODEL_CATEGORIES)).when(gt, F.col("_gt.category"))
+                .when(emv, "news_event").when(life, "lifestyle").otherwise("unknown"))
+    model_reason = F.coalesce(*[F.when(verdict(p) == name_, F.format_string(text, p)) for name_, text in MODEL_REASONS.items()])
+    years = F.array_join(F.col("_gt.real_years").cast("array<string>"), ", ")
+    reason = (F.when(gate, F.format_string(REASON_GATE, F.col("confidence") * 100)).when(model, model_reason)
+              .when(gt_real, F.format_string(REASON_DICTIONARY, F.col("_gt.event_name"), years))
+              .when(gt, REASON_DICTIONARY_NOISE).when(emv, REASON_EMERGING).when(life, REASON_LIFESTYLE).otherwise(REASON_NONE))
+    real_years = F.when(~gate & ~model & gt_real, F.col("_gt.real_years")).otherwise(F.array().cast("array<int>"))
     return j.select("topic_id", "topic_label", v.alias("verdict"), prob.cast("double").alias("event_probability"),
-                    is_real.cast("boolean").alias("is_real_event"), name.alias("event_name"))
+                    is_real.cast("boolean").alias("is_real_event"), name.alias("event_name"), category.alias("event_category"),
+                    reason.alias("reason"), real_years.alias("real_years"))

@@ -18,7 +18,7 @@ from trendspark.operators import trend
 from trendspark.plans.q_trend import SIGNAL_SQL_CTES
 from trendspark.plans.registry import register
 from trendspark.plans.views import topic_orders
-from trendspark.rules import GROUND_TRUTH_EVENT_NAMES, GROUND_TRUTH_EVENTS, GROUND_TRUTH_VERIFIED, LIFESTYLE_KEYWORDS
+from trendspark.rules import REASON_DICTIONARY, REASON_DICTIONARY_NOISE, REASON_EMERGING, REASON_GATE, REASON_LIFESTYLE, REASON_NONE, GROUND_TRUTH_EVENT_NAMES, GROUND_TRUTH_EVENTS, GROUND_TRUTH_VERIFIED, LIFESTYLE_KEYWORDS
 
 YEAR_SHIFT = 21
 
@@ -342,7 +342,7 @@ hit AS (SELECT t.topic_id, min(ed.rule_idx) AS r FROM t JOIN ed ON contains(lowe
 emg AS (SELECT topic_id, bool_or(signal_class = 'EMERGING') AS em FROM signals GROUP BY 1),
 fv2 AS (SELECT topic_id, first(verification_status ORDER BY spike_year) IN ('VERIFIED', 'VERIFIED_GROUNDTRUTH') AS ver
         FROM ver GROUP BY 1),
-j AS (SELECT t.*, ed.real_years, ed.event_name AS gt_name, ed.verified AS gt_ver, ed.rule_idx IS NOT NULL AS gt,
+j AS (SELECT t.*, ed.real_years, ed.event_name AS gt_name, ed.verified AS gt_ver, ed.category AS gt_category, ed.rule_idx IS NOT NULL AS gt,
              coalesce(emg.em, false) AND coalesce(fv2.ver, false) AS emv,
              {" OR ".join(f"contains(lower(t.topic_label), {_q(k)})" for k in LIFESTYLE_KEYWORDS)} AS life
       FROM t LEFT JOIN hit ON hit.topic_id = t.topic_id LEFT JOIN ed ON ed.rule_idx = hit.r
@@ -355,7 +355,14 @@ SELECT topic_id, topic_label,
             WHEN gt THEN 0.05 WHEN emv THEN 0.85 WHEN life THEN 0.1 ELSE 0.5 END AS DOUBLE) AS event_probability,
        CASE WHEN confidence < 0.15 THEN NULL WHEN gt AND gt_ver AND len(real_years) > 0 THEN true
             WHEN gt THEN false WHEN emv THEN true WHEN life THEN false ELSE NULL END AS is_real_event,
-       CASE WHEN confidence >= 0.15 AND gt THEN gt_name ELSE topic_label END AS event_name
+       CASE WHEN confidence >= 0.15 AND gt THEN gt_name ELSE topic_label END AS event_name,
+       CASE WHEN confidence < 0.15 THEN 'unknown' WHEN gt THEN gt_category WHEN emv THEN 'news_event' WHEN life THEN 'lifestyle'
+            ELSE 'unknown' END AS event_category,
+       CASE WHEN confidence < 0.15 THEN printf('{REASON_GATE}', confidence * 100)
+            WHEN gt AND gt_ver AND len(real_years) > 0 THEN printf('{REASON_DICTIONARY}', gt_name, array_to_string(real_years, ', '))
+            WHEN gt THEN '{REASON_DICTIONARY_NOISE}' WHEN emv THEN '{REASON_EMERGING}' WHEN life THEN '{REASON_LIFESTYLE}'
+            ELSE '{REASON_NONE}' END AS reason,
+       CASE WHEN confidence >= 0.15 AND gt AND gt_ver THEN array_to_string(real_years, ',') ELSE '' END AS real_years
 FROM j""")
 def layered_verdict(spark, sf_dir):
     """V34 + J11 + T16 without a model (the model step is covered by
@@ -369,4 +376,9 @@ def layered_verdict(spark, sf_dir):
     t = (ll.join(conf, "topic_id").crossJoin(F.broadcast(tot))
          .select("topic_id", "topic_label", (F.col("n") / F.col("_tot") * 8 - 0.8).alias("confidence"),
                  F.lit(None).cast("double").alias("prob")))
-    return E.layered_verdict(t, E.event_dictionary(spark), sig, v)
+    return verdict_columns(E.layered_verdict(t, E.event_dictionary(spark), sig, v))
+
+
+def verdict_columns(df):
+    """V34's record with its years as text."""
+    return df.withColumn("real_years", F.array_join(F.col("real_years").cast("array<string>"), ","))

@@ -87,7 +87,7 @@ SELECT topic, year, CAST(n_kt AS BIGINT) AS n_kt, velocity, gap FROM s"""
 @register("stream_state_velocity", _state_sql())
 def stream_state_velocity(spark, sf_dir):
     """Running dense velocity and gap per topic with state per topic
-    (applyInPandasWithState; lag is not available on streams)."""
+    (transformWithState; lag is not available on streams)."""
     o = _topic_rows(_src(spark, sf_dir, "orders")).where(F.col("topic") != -1).select("topic", "year")
     cal = table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
     t = ST.run_update_to_table(ST.running_velocity(o, (int(cal[0]), int(cal[1]))), "state_velocity")
@@ -112,12 +112,13 @@ def stream_predict(spark, sf_dir):
     (broadcast) in each micro-batch: best topic per document."""
     from trendspark.plans.q_topics import pipeline
     words = cut_lineage(pipeline(spark, sf_dir)["words"].select("topic", "term", "score"))
-    docs = _src(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), T.query_vocab(T.tokens(T.clean_alnum("text"))).alias("vocab"))
+    docs = _src(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
 
     def score(batch):
-        return TP.predict_best(batch, words)
+        # words of the topics only, so that a document's other terms are never joined
+        vocab = T.query_vocab(T.tokens(T.clean_alnum("text")))
+        return TP.predict_best(batch.select("query_id", vocab.alias("vocab")), words)
 
-    t = ST.run_batches(docs, "predict", score)
+    t = ST.run_batches(docs, "predict", score, spread="query_id")
     return t.select(F.col("query_id").alias("doc_id"), F.col("best_topic").alias("topic"),
                     F.round("best_score", 6).alias("score"))

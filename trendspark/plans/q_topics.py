@@ -16,7 +16,7 @@ from trendspark.plans.registry import register
 from trendspark.plans.views import TOPIC_DOCS_CTE, topic_docs, with_ctes
 from trendspark.rules import (HEALTHCARE_COHORT_BEFORE_YEAR, HEALTHCARE_COHORT_PATTERN, HEALTHCARE_SIGNALS,
                               LOW_CONFIDENCE_GATE, OUTLIER_REASSIGN_THRESHOLD, SEMANTIC_RULES)
-from trendspark.session import cut_lineage
+from trendspark.session import cut_lineage, on_drop, versions
 from trendspark.sources.tables import table
 
 ALL_STOPS_SQL = sql_list(all_stops())
@@ -45,12 +45,16 @@ class Fitted(dict):
         return self[part]
 
 
-_FITTED: dict[tuple[str, str], Fitted] = {}
+_FITTED: dict[tuple, Fitted] = {}
+on_drop(_FITTED.clear)
 
 
 def pipeline(spark, sf_dir) -> Fitted:
-    """The model of ``sf_dir``, fitted once per application; every query reads its written parts."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The model of ``sf_dir``, fitted once per application and version of its tables; every
+    query reads its written parts. A rewritten input has other files and is fitted anew; ``drop_scratch``
+    forgets the models with their tables."""
+    files = tuple(sorted(f for t in ("documents", "embeddings") for f in versions(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")))
+    key = (spark.sparkContext.applicationId, sf_dir, files)
     if key not in _FITTED:
         _FITTED[key] = Fitted(spark, sf_dir)
     return _FITTED[key]

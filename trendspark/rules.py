@@ -147,6 +147,21 @@ VERDICT_LEVELS = [(0.75, "VERIFIED_REAL"), (0.55, "LIKELY_REAL"), (0.40, "UNCERT
                   (0.25, "LIKELY_NOISE")]
 VERDICT_FLOOR = "VERIFIED_NOISE"
 
+# --- fixed values: event category by verdict of the model, and the reasons given ---
+MODEL_CATEGORIES = {"VERIFIED_REAL": "news_event", "LIKELY_REAL": "news_event", "UNCERTAIN": "unknown",
+                    "LIKELY_NOISE": "general", "VERIFIED_NOISE": "lifestyle"}
+MODEL_REASONS = {"VERIFIED_REAL": "GBM classifier: P(real)=%.2f (high confidence)",
+                 "LIKELY_REAL": "GBM classifier: P(real)=%.2f (moderate confidence)",
+                 "UNCERTAIN": "GBM classifier: P(real)=%.2f — borderline, flagged for review",
+                 "LIKELY_NOISE": "GBM classifier: P(real)=%.2f — background topic",
+                 "VERIFIED_NOISE": "GBM classifier: P(real)=%.2f — confirmed non-event"}
+REASON_GATE = "Low topic confidence (%.1f%%) — text may not match any known topic in the corpus."
+REASON_DICTIONARY = "Ground-truth: %s in [%s]"
+REASON_DICTIONARY_NOISE = "Ground-truth: lifestyle/entertainment content"
+REASON_EMERGING = "EMERGING signal + GDELT verified"
+REASON_LIFESTYLE = "Lifestyle/entertainment topic — not a discrete news event."
+REASON_NONE = "No model, dictionary or signal evidence for this topic."
+
 # --- fixed values: the English stop words of Spark ML's StopWordsRemover (public, Apache Spark) ---
 ENGLISH_STOPS = [
     "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",

@@ -63,9 +63,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_ON_DROP = []
+
+
+def on_drop(forget) -> None:
+    """Have ``forget`` called when the written tables go; for caches that point to them."""
+    _ON_DROP.append(forget)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and modification time of the files under ``path``."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return found
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables written by ``cut_lineage`` so far; for the end of a job, when no
-    result that reads them is left to compute."""
+    result that reads them is left to compute. Models kept for later queries are forgotten with
+    their tables, and fitted again when asked for."""
+    for forget in _ON_DROP:
+        forget()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor
 
-from trendspark.session import scratch_path
+from trendspark.session import cut_lineage, scratch_path
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -103,48 +104,85 @@ def run_foreach_batch(df: DataFrame, name: str, key_cols: list[str]) -> DataFram
     return last
 
 
-STATE_OUT = "topic int, year int, n_kt long, velocity double, gap int, epoch long"
-STATE_SCHEMA = "years array<int>, counts array<long>, epoch long"
+STATE_OUT = "topic int, year int, n_kt long, velocity double, gap int"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def running_velocity(rows: DataFrame, year_range: tuple[int, int] | None = None) -> DataFrame:
-    """``applyInPandasWithState`` keyed by topic over (topic, year) rows.
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """State of streams started inside lies in RocksDB, on disk, as ``transformWithState`` needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def running_velocity(rows: DataFrame, year_range: tuple[int, int], idle_ms: int | None = None) -> DataFrame:
+    """``transformWithState`` keyed by topic over (topic, year) rows, in update mode.
 
     Each partition first counts its rows per (topic, year), so the shuffle to
-    the state operator carries counts and a hot topic is no hot task. The
-    state holds counts per year (bounded by the calendar). ``year_range`` is
-    the calendar of the dense grid (a parameter on a live stream, where the
-    full set of years is not known in advance). Both functions are nested, so
+    the state operator carries counts and a hot topic is no hot task. The state is a
+    map from year to count: a batch reads and writes the years it touches, and emits
+    those whose count, velocity or gap has changed (all years of the calendar
+    ``year_range`` when a topic is first seen). With ``idle_ms`` a timer
+    clears a topic that had no rows for so long. Functions and processor are nested, so
     Python workers need no import of this package."""
+    lo, hi = year_range
 
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             yield pdf.groupby(["topic", "year"], as_index=False).size().rename(columns={"size": "n"})
 
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[int, int] = {}
-        epoch = 0
-        if state.exists:
-            years, cnts, epoch = state.get
-            counts = {int(y): int(c) for y, c in zip(years, cnts)}
-            epoch = int(epoch) + 1
-        for pdf in pdfs:
-            for y, c in zip(pdf["year"], pdf["n"]):
-                counts[int(y)] = counts.get(int(y), 0) + int(c)
-        ys = sorted(counts)
-        state.update((ys, [counts[y] for y in ys], epoch))
-        out, gap, prev = [], 0, None
-        lo, hi = year_range if year_range else (ys[0], ys[-1])
-        for y in range(lo, hi + 1):
-            n = counts.get(y, 0)
-            gap = 0 if n > 0 else gap + 1
-            v = 0.0 if prev is None else (n - prev) / (prev + 1.0)
-            out.append((int(key[0]), y, n, round(v, 4), gap, epoch))
-            prev = n
-        yield pd.DataFrame(out, columns=["topic", "year", "n_kt", "velocity", "gap", "epoch"])
+    class Velocity(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.counts = handle.getMapState("counts", "year int", "n long")
+
+        def of(self, year):
+            return self.counts.getValue((year,))[0] if self.counts.containsKey((year,)) else 0
+
+        def handleInputRows(self, key, rows, timerValues):
+            more = {}
+            for pdf in rows:
+                for y, c in zip(pdf["year"], pdf["n"]):
+                    more[int(y)] = more.get(int(y), 0) + int(c)
+            changed = set() if self.counts.exists() else set(range(lo, hi + 1))
+            for y, c in more.items():
+                old = self.of(y)
+                self.counts.updateValue((y,), (old + c,))
+                changed |= {y, y + 1}
+                z = y + 1
+                while not old and z <= hi and not self.of(z):  # the gap after this year begins here now
+                    changed.add(z)
+                    z += 1
+            if idle_ms:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+            out = []
+            for y in sorted(changed):
+                if lo <= y <= hi:
+                    n, gap = self.of(y), 0
+                    while y - gap >= lo and not self.of(y - gap):
+                        gap += 1
+                    prev = self.of(y - 1) if y > lo else None
+                    v = 0.0 if prev is None else (n - prev) / (prev + 1.0)
+                    out.append((int(key[0]), y, n, round(v, 4), gap))
+            yield pd.DataFrame(out, columns=["topic", "year", "n_kt", "velocity", "gap"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.counts.clear()
+            yield pd.DataFrame({"topic": [], "year": [], "n_kt": [], "velocity": [], "gap": []})
+
+        def close(self):
+            pass
 
     counted = rows.select("topic", "year").mapInPandas(count, "topic int, year int, n long")
-    return counted.groupBy("topic").applyInPandasWithState(update, STATE_OUT, STATE_SCHEMA, "update", "NoTimeout")
+    return counted.groupBy("topic").transformWithStateInPandas(
+        Velocity(), STATE_OUT, "Update", "ProcessingTime" if idle_ms else "None")
 
 
 def latest_per_key(table: DataFrame, keys: list[str], order: str = "epoch") -> DataFrame:
@@ -154,30 +192,35 @@ def latest_per_key(table: DataFrame, keys: list[str], order: str = "epoch") -> D
             .select(*keys, "_r.*"))
 
 
-def run_update_to_table(df: DataFrame, name: str) -> DataFrame:
+def run_update_to_table(df: DataFrame, name: str, paths: tuple[str, str] | None = None) -> DataFrame:
     """Update-mode stream into an append-only parquet table (one file set per
-    epoch, stamped); ``latest_per_key`` gives the final view."""
+    epoch, stamped); ``latest_per_key`` gives the final view. With the ``paths`` (output, checkpoint)
+    of an earlier run it goes on from there."""
     spark = df.sparkSession
-    out, ckpt = _paths(spark, name)
+    out, ckpt = paths or _paths(spark, name)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
         # one partition per epoch, overwritten on retry: idempotent
         (batch.withColumn("_epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out))
 
-    q = (df.writeStream.foreachBatch(fn).outputMode("update").option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb_state(spark):
+        q = (df.writeStream.foreachBatch(fn).outputMode("update").option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def run_batches(df: DataFrame, name: str, fn_batch) -> DataFrame:
+def run_batches(df: DataFrame, name: str, fn_batch, spread: str | None = None) -> DataFrame:
     """Apply ``fn_batch(batch_df) -> DataFrame`` to every micro-batch (stream-
-    static joins and batch-level argmax) and append the results."""
+    static joins and batch-level argmax) and append the results. ``spread``: column
+    by which a batch is dealt to the tasks first, as a file is one task otherwise."""
     spark = df.sparkSession
     out, ckpt = _paths(spark, name)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
+        # read, tokenised and spread over the tasks once, however often ``fn_batch`` uses it
+        batch = cut_lineage(batch.repartition(spread) if spread else batch, f"{name}-batch")
         (fn_batch(batch).withColumn("_epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out))
 
