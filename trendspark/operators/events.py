@@ -129,7 +129,7 @@ def verify_events(events: DataFrame, timeline: DataFrame, rules: DataFrame,
     is the fallback (label first, then raw label)."""
     ev = events.select("topic_id", "year", "topic_label", "raw_label")
     pk = timeline_peaks(timeline)
-    e = ev.join(F.broadcast(pk), "topic_id", "left")
+    e = ev.join(pk, "topic_id", "left")
     y = F.col("year")
     d8 = F.try_to_date(F.substring("peak_date", 1, 8), "yyyyMMdd")
     y4 = F.expr("try_cast(substring(peak_date, 1, 4) AS INT)")
@@ -145,7 +145,7 @@ def verify_events(events: DataFrame, timeline: DataFrame, rules: DataFrame,
     filled_date = F.concat(y.cast("string"), F.lit("0701000000"))
     unavailable = F.col("status") == "GDELT_UNAVAILABLE"
     if model_probs is not None:
-        e = e.join(F.broadcast(model_probs.select("topic_id", "year", "prob")), ["topic_id", "year"], "left")
+        e = e.join(model_probs.select("topic_id", "year", "prob"), ["topic_id", "year"], "left")
         p = F.col("prob")
         new_status = (F.when(unavailable & (p >= MODEL_VERIFIED), "VERIFIED_GROUNDTRUTH")
                       .when(unavailable & (p >= MODEL_LIKELY), "LIKELY_REAL").otherwise(F.col("status")))

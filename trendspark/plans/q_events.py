@@ -168,7 +168,7 @@ def timeline_parse(spark, sf_dir):
     the timeline table)."""
     ev = E.events_to_verify(news_signals(spark, sf_dir)).select("topic_id", "year")
     t = E.parse_timeline(timeline_df(spark, True))
-    return ev.join(F.broadcast(t), "topic_id").select(
+    return ev.join(t, "topic_id").select(
         "topic_id", "year", "pos", "date", F.round("value", 6).alias("value"))
 
 

@@ -98,6 +98,15 @@ def embed_text(spark, sf_dir):
                     F.round(V.norm("embedding"), 6).alias("norm"), "embedding")
 
 
+@register("embed_text_learnt")
+def embed_text_learnt(spark, sf_dir):
+    """V10 with word vectors learnt from the articles (whole texts)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_alnum("text")).alias("tokens"))
+    d = cut_lineage(d.repartition("doc_id"), "tokens")  # read by every round of training
+    e = ml.learnt_encoder(d, "tokens", 32)
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 6).alias("norm"), "embedding")
+
+
 # ------------------------------------------------------------------ clusters
 
 BLOB_STRENGTH = 3.0

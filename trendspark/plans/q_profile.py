@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
 from trendspark.functions import timefn as D
+from trendspark.operators import sketches
 from trendspark.plans import sqlfrag as S
 from trendspark.plans.registry import register
 from trendspark.plans.views import ARTICLES_CTE, articles, with_ctes
+from trendspark.session import cut_lineage
 from trendspark.sources.tables import table
 
 # ------------------------------------------------------------------ prepare
@@ -242,3 +244,42 @@ def temporal_weight(spark, sf_dir):
         "doc_id", F.datediff("date", "d0").alias("days"), F.datediff("d1", "d0").alias("max_days"))
     return d.select("doc_id", F.col("days").cast("int").alias("days_from_start"),
                     F.round(D.temporal_weight("days", "max_days"), 6).alias("temporal_weight"))
+
+
+# ------------------------------------------------------------------ sketches by period
+
+PERIOD_RANKS = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+_GROWTH_SQL = f"ln({1 + sketches.ERROR} / {1 - sketches.ERROR})"
+
+
+@register("period_quantiles", with_ctes(ARTICLES_CTE) + f""",
+w AS (SELECT strftime(date, '%Y') AS period, {S.raw_word_count('text')} AS v FROM articles),
+b AS (SELECT period, CASE WHEN v = 0 THEN 0 ELSE 1 END AS sign, CASE WHEN v = 0 THEN 0 ELSE CAST(ceil(ln(v) / {_GROWTH_SQL}) AS BIGINT) END AS bucket,
+             count(*) AS n FROM w GROUP BY ALL),
+a AS (SELECT period, sign, bucket, n FROM b UNION ALL SELECT 'all', sign, bucket, sum(n) FROM b GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY period ORDER BY sign, bucket) AS upto, sum(n) OVER (PARTITION BY period) AS total FROM a),
+x AS (SELECT period, total, upto, sign * {1 - sketches.ERROR} * exp(bucket * {_GROWTH_SQL}) AS v FROM u)
+SELECT period, CAST(max(total) AS BIGINT) AS n, {", ".join(
+    f"round(min(v) FILTER (WHERE upto >= ceil({p} * total)), 6) AS {name}" for name, p in PERIOD_RANKS.items())}
+FROM x GROUP BY period""")
+def period_quantiles(spark, sf_dir):
+    """A4 with mergeable sketches: quantiles of words per article by year, and over all years
+    from the years' sketches, without reading the articles again."""
+    a = articles(spark, sf_dir).select(F.date_format("date", "yyyy").alias("period"), T.raw_word_count("text").alias("v"))
+    years = cut_lineage(sketches.quantile_sketch(a, ["period"], "v"), "year-sketches")
+    both = years.unionByName(sketches.merged_quantiles(years, []).withColumn("period", F.lit("all")))
+    q = sketches.quantiles_of(both, ["period"], PERIOD_RANKS)
+    return q.select("period", F.col("total").alias("n"), *[F.round(c, 6).alias(c) for c in PERIOD_RANKS])
+
+
+@register("period_distinct_words")
+def period_distinct_words(spark, sf_dir):
+    """A5 with mergeable sketches: articles and estimated distinct words by year, and over all years
+    from the years' sketches (1.6 % standard error)."""
+    a = articles(spark, sf_dir).select(F.date_format("date", "yyyy").alias("period"), "text")
+    n = a.groupBy("period").agg(F.count(F.lit(1)).alias("n"))
+    words = a.select("period", F.explode(T.tokens(T.clean_alnum("text"))).alias("word"))
+    years = cut_lineage(sketches.distinct_sketch(words, ["period"], "word"), "year-words")
+    both = years.unionByName(sketches.merged_distinct(years, []).withColumn("period", F.lit("all")))
+    n = n.unionByName(n.agg(F.sum("n").alias("n")).select(F.lit("all").alias("period"), "n"))
+    return n.join(sketches.distinct_of(both, ["period"]), "period", "left").select("period", "n", F.col("distinct").alias("words"))

@@ -7,9 +7,10 @@ from pyspark.sql import types as Ty
 
 from trendspark.functions import text as T
 from trendspark.functions.stopwords import all_stops, sql_list
-from trendspark.operators import textops
+from trendspark.operators import keywords, ordering, textops
 from trendspark.plans import sqlfrag as S
 from trendspark.plans.registry import register
+from trendspark.plans.views import ARTICLES_CTE, articles, with_ctes
 from trendspark.rules import HEALTHCARE_SIGNALS
 from trendspark.sources.tables import table
 
@@ -143,3 +144,26 @@ def leave_one_out(spark, sf_dir):
                     (F.col("n") - 1).cast("int").alias("variant_tokens"),
                     (F.col("total_chars") - F.length("token")
                      - F.when(F.col("n") > 1, 1).otherwise(0)).cast("int").alias("variant_chars"))
+
+
+N_KEYWORDS = 2000
+
+
+@register("keyword_rules", with_ctes(ARTICLES_CTE) + f""",
+w AS (SELECT unnest({S.tokens(S.clean_alnum('text'))}) AS word FROM articles),
+k AS (SELECT word AS keyword, count(*) AS n FROM w WHERE length(word) >= 6 GROUP BY 1),
+r AS (SELECT keyword, CAST(row_number() OVER (ORDER BY n, keyword) AS INTEGER) AS rule_idx FROM k QUALIFY rule_idx <= {N_KEYWORDS}),
+m AS (SELECT a.doc_id, r.rule_idx, r.keyword FROM articles a JOIN r ON contains(lower(a.text), r.keyword))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_rules, min(rule_idx) AS first_rule, first(keyword ORDER BY rule_idx) AS first_keyword
+FROM m GROUP BY doc_id""")
+def keyword_rules(spark, sf_dir):
+    """T11 + J5 for a large rule table: the N_KEYWORDS rarest words of six letters or more as rules
+    (in that order), found as substrings of every article by one automaton; per article the rules that
+    match and the first of them."""
+    a = articles(spark, sf_dir).select("doc_id", "text")
+    words = a.select(F.explode(T.tokens(T.clean_alnum("text"))).alias("keyword")).where(F.length("keyword") >= 6)
+    top = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "keyword").limit(N_KEYWORDS)
+    rules = ordering.global_rank(top, ["n", "keyword"]).select(F.col("rank").cast("int").alias("rule_idx"), "keyword")
+    m = keywords.matched_rules(a, ["doc_id"], F.col("text"), rules)
+    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rules"), F.min("rule_idx").alias("first_rule"),
+                                   F.min_by("keyword", "rule_idx").alias("first_keyword"))

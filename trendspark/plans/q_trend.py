@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendspark.operators import trend
+from trendspark.operators import ranges, trend
 from trendspark.plans.registry import register
 from trendspark.plans.views import TOPIC_ORDERS_CTE, topic_orders, with_ctes
 
@@ -199,16 +199,15 @@ FROM sp LEFT JOIN cor ON cor.ws = sp.ws AND cor.topic = sp.topic"""
 
 def spike_accept(spark, sf_dir):
     """Windows with V_hyb > theta; kept as EVENT only when a timeline
-    record of the topic lies inside the window (equi-join on topic + range
-    filter, then a left-semi style flag), else flagged NOISE."""
+    record of the topic lies inside the window (interval join by time bins), else
+    flagged NOISE."""
     from trendspark.operators import events as E
     from trendspark.plans.q_events import timeline_df
     h = hybrid_table(spark, sf_dir).where(F.col("v_hyb") > SPIKE_THETA)
     t = E.parse_timeline(timeline_df(spark, True)).select(
         F.col("topic_id").alias("topic"), F.try_to_date(F.substring("date", 1, 8), "yyyyMMdd").alias("d"))
-    cor = (h.select("ws", "topic").join(F.broadcast(t), "topic")
-           .where((F.col("d") >= F.col("ws")) & (F.col("d") < F.add_months("ws", 6)))
-           .select("ws", "topic").distinct().withColumn("_c", F.lit(True)))
+    cor = (ranges.interval_join(h.select("ws", "topic", F.add_months("ws", 6).alias("we")), t, ["topic"], "ws", "we", "d", how="left_semi")
+           .select("ws", "topic").withColumn("_c", F.lit(True)))
     j = h.join(cor, ["ws", "topic"], "left")
     ok = F.coalesce("_c", F.lit(False))
     return j.select(F.date_format("ws", "yyyy-MM-dd").alias("window_start"), "topic",

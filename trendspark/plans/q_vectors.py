@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from trendspark.functions import text as T
 from trendspark.functions import timefn as D
 from trendspark.functions import vectors as V
-from trendspark.operators import sampling, vecops
+from trendspark.operators import sampling, vecindex, vecops
 from trendspark.plans import sqlfrag as S
 from trendspark.plans.registry import register
 from trendspark.plans.views import TOPIC_DOCS_CTE, topic_docs, with_ctes
+from trendspark.session import cut_lineage
 from trendspark.sources.tables import table
 
 D_MODEL = 32
@@ -399,3 +402,25 @@ def topic_id_sets(spark, sf_dir):
     s = d.agg(F.array_except(F.collect_set("topic"), F.array(F.lit(-1))).alias("s"))
     return s.select(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), ",").alias("topics"),
                     F.size("s").cast("long").alias("n_topics"))
+
+
+# ------------------------------------------------------------------ index
+
+@register("index_recall")
+def index_recall(spark, sf_dir):
+    """V13 + J4 through the index by probing alone: for every embedding whose id is divisible by 50 the 10
+    nearest of all others, with the recall against exact search for several numbers of cells
+    visited, and the share of all pairs compared."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.unit("embedding").alias("u"))
+    index = vecindex.build_index(e, "vec_id", "u")
+    q = cut_lineage(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("u").alias("qv")), "queries")
+    exact = cut_lineage(vecops.top_k_blocks(q, e.select(F.col("vec_id").alias("cid"), F.col("u").alias("cv")), 10, exclude_self=True)
+                        .select("qid", "cid"), "exact")
+    cells, out = len(index.centroids), None
+    for share in (0.1, 0.2, 0.4, 0.6, 0.8):
+        probes = max(1, math.ceil(share * cells))
+        found = vecindex.search(index, q, 10, exclude_self=True, probes=probes, complete="none").select("qid", "cid", F.lit(1).alias("hit"))
+        row = exact.join(found, ["qid", "cid"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall")).select(
+            F.lit(cells).alias("cells"), F.lit(probes).alias("probes"), "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
