@@ -14,7 +14,7 @@ from trendspark.functions import text as T
 from trendspark.functions import vectors as V
 from trendspark.operators import bow, events as E, ml, textindex, topics as TP, trend
 from trendspark.plans.q_bow import VOCAB_SQL, terms_sql, vocab_for
-from trendspark.plans.q_events import (LAYERED_LABELS, NEWS_SIGNALS_SQL, VERIFY_SQL, news_signals, timeline_df,
+from trendspark.plans.q_events import (FINAL_SQL, LAYERED_LABELS, NEWS_SIGNALS_SQL, VERIFY_SQL, news_signals, timeline_df,
                                        verdict_columns, verification)
 from trendspark.plans.q_quality import _merge
 from trendspark.plans.q_topics import pipeline
@@ -198,6 +198,45 @@ def timeline_verify_model(spark, sf_dir):
     return v.withColumn("gdelt_peak_value", F.round("gdelt_peak_value", 6))
 
 
+def scored_events(sig, ver):
+    """V37 on a verification, with V36's display score of the first verified year (0.05 where there is none)."""
+    w = Window.partitionBy("topic_id").orderBy("spike_year")
+    first = (ver.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+             .select("topic_id", "verification_status", E.display_score(F.col("verification_status"), F.col("gdelt_peak_value")).alias("display_score")))
+    out = E.final_events(sig, ver).join(first, "topic_id", "left")
+    return out.withColumn("display_score", F.round(F.coalesce("display_score", F.lit(0.05)).cast("double"), 6))
+
+
+@register("final_events_given", FINAL_SQL.replace("FROM ver GROUP BY", "FROM verg GROUP BY").replace("""per AS (SELECT topic_id, first(topic_label)""", GIVEN_SQL + """,
+verg AS (SELECT v.topic_id, v.spike_year,
+       CASE WHEN v2.status0 = 'GDELT_UNAVAILABLE' AND mp.prob >= 0.40 THEN CAST(v.spike_year AS VARCHAR) || '0701000000'
+            ELSE coalesce(v2.peak_date, '') END AS gdelt_peak_date,
+       CAST(CASE WHEN v2.status0 = 'GDELT_UNAVAILABLE' AND mp.prob >= 0.40 THEN mp.prob ELSE coalesce(v2.peak_value, 0.0) END AS DOUBLE) AS gdelt_peak_value,
+       CASE WHEN v2.status0 <> 'GDELT_UNAVAILABLE' THEN v2.status0 WHEN mp.prob >= 0.75 THEN 'VERIFIED_GROUNDTRUTH'
+            WHEN mp.prob >= 0.40 THEN 'LIKELY_REAL' ELSE v2.status0 END AS verification_status
+     FROM ver v JOIN v2 ON v2.topic_id = v.topic_id AND v2.year = v.spike_year LEFT JOIN mp ON mp.topic_id = v.topic_id),
+per AS (SELECT topic_id, first(topic_label)""") + """,
+sc AS (SELECT topic_id, verification_status AS status, CASE WHEN verification_status = 'VERIFIED_GROUNDTRUTH' THEN 1.0
+              WHEN verification_status = 'VERIFIED' THEN greatest(gdelt_peak_value, 0.5) WHEN verification_status = 'NOISE_UNVERIFIED' THEN 0.15
+              ELSE 0.05 END AS s FROM verg QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY spike_year) = 1)
+SELECT fin.topic_id, topic_label, raw_label, signal_class, peak_year, peak_velocity, gdelt_verified,
+       CASE WHEN gdelt_verified THEN vdate ELSE '' END AS gdelt_peak_date, signal_class = 'EMERGING' AND gdelt_verified AS is_real_event,
+       sc.status AS verification_status, CAST(round(coalesce(sc.s, 0.05), 6) AS DOUBLE) AS display_score
+FROM fin LEFT JOIN sc ON sc.topic_id = fin.topic_id""")
+def final_events_given(spark, sf_dir):
+    """V36 + V37 on V35's model branch with given probabilities."""
+    sig = news_signals(spark, sf_dir)
+    probs = sig.select("topic_id", "year").join(F.broadcast(given_probs(spark)), "topic_id")
+    return scored_events(sig, model_verification(spark, sig, probs))
+
+
+@register("final_events_model")
+def final_events_model(spark, sf_dir):
+    """V36 + V37 on the verification by ``event_classifier``'s model."""
+    sig = news_signals(spark, sf_dir)
+    return scored_events(sig, model_verification(spark, sig, classifier_probs(spark, sf_dir, sig)))
+
+
 @register("layered_verdict_given", NEWS_SIGNALS_SQL + ",\n" + GIVEN_SQL + f""",
 ll AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{v}')" for k, v in LAYERED_LABELS.items())}) v(topic_id, label)),
 conf AS (SELECT topic_id, sum(n_kt) AS n FROM signals GROUP BY topic_id),
