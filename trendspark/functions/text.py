@@ -53,24 +53,33 @@ def richness(tok) -> Column:
     return F.size(F.array_distinct(t)) / (F.size(t) + F.lit(1))
 
 
-def bigrams(tok) -> Column:
-    """Adjacent pairs joined by one space (empty for fewer than 2 tokens)."""
-    t = _c(tok)
+def once(value, fn) -> Column:
+    """``fn`` of a costly ``value`` that it uses several times: the value is bound to a variable, as the
+    plan would otherwise compute it anew at each use."""
+    return F.get(F.transform(F.array(_c(value)), fn), F.lit(0))
+
+
+def _bigrams(t: Column) -> Column:
     n = F.size(t)
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
         F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
                    lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def bigrams(tok) -> Column:
+    """Adjacent pairs joined by one space (empty for fewer than 2 tokens)."""
+    return once(tok, _bigrams)
+
+
 def query_vocab(tok) -> Column:
     """Set of tokens and bigrams."""
-    return F.array_union(F.array_distinct(_c(tok)), bigrams(tok))
+    return once(tok, lambda t: F.array_union(F.array_distinct(t), _bigrams(t)))
 
 
 def vectorizer_terms(clean, stop_col) -> Column:
     """Tokens of 2+ word characters, stop words removed, then 1-2 grams
     over the filtered list. ``stop_col`` is the filtered-token column."""
-    return F.concat(_c(stop_col), bigrams(stop_col))
+    return once(stop_col, lambda t: F.concat(t, _bigrams(t)))
 
 
 def word_tokens(clean) -> Column:

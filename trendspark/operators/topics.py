@@ -150,7 +150,9 @@ def predict_best(queries: DataFrame, words: DataFrame) -> DataFrame:
     topic = highest score, lowest id on ties; a query without any hit gets
     the lowest topic id with score 0 (every topic scores 0). Only hits are
     joined (broadcast topic words: n_words per topic), no query x topic grid."""
-    qv = queries.select("query_id", F.explode(F.array_distinct("vocab")).alias("term"))
+    # a query's words that are no topic word are dropped in its array, before any row is made of them
+    wanted = words.agg(F.collect_set("term").alias("_wanted"))  # n_words per topic
+    qv = queries.crossJoin(F.broadcast(wanted)).select("query_id", F.explode(F.array_intersect("vocab", "_wanted")).alias("term"))
     hits = qv.join(F.broadcast(words.select("topic", "term", "score")), "term") \
         .groupBy("query_id", "topic").agg(F.sum("score").alias("score"))
     best = hits.groupBy("query_id").agg(

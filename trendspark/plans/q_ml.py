@@ -13,7 +13,7 @@ from trendspark.functions import timefn as D
 from trendspark.functions import vectors as V
 from trendspark.operators import bow, cluster, ml, sampling, textops, vecops
 from trendspark.plans.registry import register
-from trendspark.session import cut_lineage, scratch_path
+from trendspark.session import cut_lineage, scratch_path, spread
 from trendspark.sources.tables import table
 
 LDA_K, LDA_ITER = 10, 20
@@ -28,7 +28,7 @@ def _lda_input(spark, sf_dir):
     m = cv.fit(d)
     feats = m.transform(d).select("doc_id", "features")
     # every iteration reads them all: spread over the tasks, whatever the number of files
-    return cut_lineage(feats.repartition("doc_id"), "lda-features"), m
+    return cut_lineage(spread(feats, "doc_id"), "lda-features"), m
 
 
 @register("lda_topics")
@@ -59,7 +59,7 @@ def lda_weighted(spark, sf_dir):
     # the product of a number and a vector, in the JVM and sparse
     wf = (Interaction(inputCols=["w", "features"], outputCol="scaled").transform(feats.join(w, "doc_id"))
           .select("doc_id", F.col("scaled").alias("features")))
-    wf = cut_lineage(wf.repartition("doc_id"), "lda-weighted")
+    wf = cut_lineage(spread(wf, "doc_id"), "lda-weighted")
     plain = ml.lda_assign(ml.lda_fit(feats, LDA_K, LDA_ITER), feats, LDA_K).agg(F.avg("confidence").alias("p"))
     weighted = ml.lda_assign(ml.lda_fit(wf, LDA_K, LDA_ITER), wf, LDA_K).agg(F.avg("confidence").alias("wgt"))
     r = plain.crossJoin(weighted)
@@ -102,7 +102,7 @@ def embed_text(spark, sf_dir):
 def embed_text_learnt(spark, sf_dir):
     """V10 with word vectors learnt from the articles (whole texts)."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.clean_alnum("text")).alias("tokens"))
-    d = cut_lineage(d.repartition("doc_id"), "tokens")  # read by every round of training
+    d = cut_lineage(spread(d, "doc_id"), "tokens")  # read by every round of training
     e = ml.learnt_encoder(d, "tokens", 32)
     return e.select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 6).alias("norm"), "embedding")
 

@@ -119,6 +119,6 @@ def stream_predict(spark, sf_dir):
         vocab = T.query_vocab(T.tokens(T.clean_alnum("text")))
         return TP.predict_best(batch.select("query_id", vocab.alias("vocab")), words)
 
-    t = ST.run_batches(docs, "predict", score, spread="query_id")
+    t = ST.run_batches(docs, "predict", score, spread_by="query_id")
     return t.select(F.col("query_id").alias("doc_id"), F.col("best_topic").alias("topic"),
                     F.round("best_score", 6).alias("score"))

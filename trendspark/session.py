@@ -104,6 +104,12 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as shuffles have; with a number given, small parts
+    are not put together again. For tables that are read over and over, or costly a row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from trendspark.session import cut_lineage, scratch_path
+from trendspark.session import cut_lineage, scratch_path, spread
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -211,16 +211,16 @@ def run_update_to_table(df: DataFrame, name: str, paths: tuple[str, str] | None
     return spark.read.parquet(out)
 
 
-def run_batches(df: DataFrame, name: str, fn_batch, spread: str | None = None) -> DataFrame:
+def run_batches(df: DataFrame, name: str, fn_batch, spread_by: str | None = None) -> DataFrame:
     """Apply ``fn_batch(batch_df) -> DataFrame`` to every micro-batch (stream-
-    static joins and batch-level argmax) and append the results. ``spread``: column
+    static joins and batch-level argmax) and append the results. ``spread_by``: column
     by which a batch is dealt to the tasks first, as a file is one task otherwise."""
     spark = df.sparkSession
     out, ckpt = _paths(spark, name)
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
         # read, tokenised and spread over the tasks once, however often ``fn_batch`` uses it
-        batch = cut_lineage(batch.repartition(spread) if spread else batch, f"{name}-batch")
+        batch = cut_lineage(spread(batch, spread_by) if spread_by else batch, f"{name}-batch")
         (fn_batch(batch).withColumn("_epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out))
 
