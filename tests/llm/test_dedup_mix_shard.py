@@ -139,3 +139,34 @@ def test_mix_edge_cases(docs, empty):
     assert mixing.take_copies(empty).count() == 0
     mixed = mixing.mix(mixing.sized_rows(docs)).collect()
     assert len(mixed) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in mixed)
+
+
+def test_shards_equal_a_plain_descent(spark):
+    """The winner of every level by the reference xxHash, in Python."""
+    import math
+
+    import xxhash
+
+    def draw(key, name, weight):
+        first = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(name.encode(), first)
+        return -math.log(((h >> 11) + 0.5) * 2.0 ** -53) / weight, name
+
+    def shard(key, leaves):
+        path = ""
+        for parts in (lambda x: x.region, lambda x: x.rack, lambda x: str(x.shard)):
+            children = {}
+            for leaf in leaves:
+                children[f"{path}/{parts(leaf)}"] = children.get(f"{path}/{parts(leaf)}", 0) + leaf.weight
+            path = min(draw(key, n, w) for n, w in children.items())[1]
+            leaves = [x for x in leaves if f"{path.rsplit('/', 1)[0]}/{parts(x)}" == path]
+        return leaves[0].shard
+
+    from trendspark.llm import sharding
+    trees = [sharding.shard_tree(40), sharding.shard_tree(41),
+             [sharding.Leaf("a", "r", 0, 3.0), sharding.Leaf("a", "q", 1, 0.5), sharding.Leaf("b", "r", 2, 2.0)]]
+    keys = [0, -1, 7, 2 ** 62, *range(1000, 1400)]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for tree in trees:
+        got = {r["doc_id"]: r["shard"] for r in df.select("doc_id", sharding.place(F.col("doc_id"), tree).alias("shard")).collect()}
+        assert got == {k: shard(k, tree) for k in keys}

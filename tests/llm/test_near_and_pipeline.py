@@ -143,3 +143,84 @@ def test_hot_keys_are_joined_where_they_lie(spark, monkeypatch):
     table = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
     got = near_dedup.keyed_join(rows, table, "key").collect()
     assert len(got) == 1000 and all(r["value"] == 2 * r["key"] for r in got)
+
+
+def test_stages_equal_plain_versions(spark):
+    """What stays after each filtering stage, by plain Python from the texts; what packing returns, by the tokenizer."""
+    import re
+    from collections import Counter
+
+    import corpus_pipeline
+    from test_texts import brute_measure, plain_kept, tokenizer_once
+    from trendspark.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    for r in rows:
+        r.update(zip(quality.COUNTS, brute_measure(r["text"]) if len(r["text"] or "") < 20_000 else quality.measure(r["text"])))
+    good = [r for r, kept in zip(rows, plain_kept(rows, quality.ERROR)) if kept]
+    after = corpus_pipeline.good(spark, docs, SF)
+    assert Counter(r["doc_id"] for r in after.collect()) == Counter(r["doc_id"] for r in good)
+    by_text = defaultdict(list)
+    for r in good:
+        by_text[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append(r)
+    once = [min(same, key=lambda r: (-len(r["text"] or ""), r["doc_id"])) for same in by_text.values()]
+    after = corpus_pipeline.exact(spark, after, SF)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in once)
+    stay = {c for c, _ in brute_classes([(r["doc_id"], r["text"]) for r in once]).values()}
+    after = corpus_pipeline.near(spark, after, SF)
+    assert {r["doc_id"] for r in after.collect()} == stay
+    # mixing: words by source near the targets, no document more than 3 times
+    size = {r["doc_id"]: r["n_words"] for r in once if r["doc_id"] in stay}
+    source, total = {r["doc_id"]: r["source"] for r in once}, Counter()
+    for d in stay:
+        total[source[d]] += size[d]
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(total))}
+    target, rest = {}, dict(total)
+    while rest:
+        left = sum(total.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > 3 * total[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+            del rest[s]
+    mixed = corpus_pipeline.mixed(spark, after, SF)
+    copies = Counter(r["doc_id"] for r in mixed.select("doc_id").collect())
+    taken = Counter()
+    for d, n in copies.items():
+        assert d in stay and n <= 3
+        taken[source[d]] += n * size[d]
+    longest = max(size.values())
+    assert all(abs(taken[s] - target[s]) <= min(longest, max(size[d] for d in stay if source[d] == s)) for s in target)
+    # packing: every id of every copy once, sequences without gaps
+    tokens = {r["doc_id"]: len(tokenizer_once().encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in once if r["doc_id"] in copies}
+    pieces = corpus_pipeline.packed(spark, mixed, SF).collect()
+    starts, sequences = defaultdict(Counter), defaultdict(list)
+    for r in pieces:
+        assert r["doc_tokens"] == tokens[r["doc_id"]]
+        starts[r["doc_id"]][(r["start"], r["length"])] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d, n in copies.items():
+        assert sum(length * k for (_, length), k in starts[d].items()) == n * tokens[d]
+        assert sorted(starts[d]) == [(a, min(1024, tokens[d] - a)) for a in range(0, tokens[d], 1024)] and set(starts[d].values()) == {n}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_stages_take_odd_and_empty_tables(spark, docs, empty):
+    import corpus_pipeline
+    for table in (docs, empty, docs.withColumn("text", F.lit(None).cast("string"))):
+        now = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == table.columns
+            now.collect()
+        corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()

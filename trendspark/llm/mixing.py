@@ -158,6 +158,11 @@ def mix(sized: DataFrame, weight: Column | None = None, most: int = 3, total: Co
 
 
 def take_copies(docs: DataFrame, weight: Column | None = None, most: int = 3) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    Null texts and texts without words have size 0 and add nothing to a target; a null source is
+    a source of its own. Rows equal in identifier and text share their draw and are
+    taken or left together. Very long texts count whole. All columns travel in a struct, so
+    names can't clash. An empty table gives an empty result."""
     mixed = mix(sized_rows(docs), weight, most)
     return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("row.*")

@@ -473,7 +473,12 @@ def keyed_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest identifier, with the columns of ``docs``."""
+    """One document of each class, the one with the smallest identifier, with the columns of ``docs``.
+
+    Null texts count as empty, and all texts without words are one class. Of rows with the smallest
+    identifier (ties, repeated rows) one stays; a null identifier comes last. Very long texts are
+    compared whole. All columns travel in a struct, so names can't clash. An empty table gives an
+    empty result."""
     found = near_classes(docs, id_col, text_col)
     kept = cut_lineage(found.select("kept.id", "kept.text_key").distinct(), "kept").select(
         F.col("id").alias("k_id"), F.col("text_key").alias("k_key"))

@@ -121,8 +121,10 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``doc_tokens``, ``ids`` (with ``with_ids``), and for ``pack`` ``task`` and ``nth``
     (number among the task's pieces of that length).
 
-    A null text is empty; an empty text is one piece, the end id. Rows that
-    repeat are packed as often as they come.
+    A null text is empty; an empty text is one piece, the end id; a very long one is cut
+    whole, its ids held as bytes. Rows that repeat are packed as often as they come, null
+    identifiers are kept. Other columns are not read, so names can't clash. An empty table
+    gives an empty result.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type)] + [T.StructField(n, T.LongType()) for n in (
@@ -217,7 +219,9 @@ def pack_histogram(histogram: dict[int, int], most: int) -> list[Slot]:
 
 def pack(pieces: DataFrame, most: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the pieces of ``cut_pieces``: each sequence holds
-    at most ``most`` ids, without gaps from 0. An empty table gives an empty result."""
+    at most ``most`` ids, without gaps from 0. Pieces of equal length (ties) are taken in the order of
+    their tasks and places. Columns of the pieces are kept; an empty table gives an empty
+    result."""
     pieces = cut_lineage(pieces, "pieces")  # a task's numbers must not change
     counts = cut_lineage(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

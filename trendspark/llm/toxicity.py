@@ -256,8 +256,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     start and end in characters and probability of each run of toxic tokens.
 
     Null and empty texts have the score of a text without evidence. Only the text is
-    an input of the score. Rows that repeat are scored each; an empty table gives an
-    empty result.
+    an input of the score, the whole text however long; equal texts have equal scores. Rows that
+    repeat are scored each; columns other than the identifier and the text are not read, so
+    names can't clash; an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(model.weights)
