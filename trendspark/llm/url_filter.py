@@ -105,7 +105,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Exceptions win over other patterns; without any match the verdict is allow.
     Null URLs and URLs without ``://`` have empty host and path. Rows that repeat
     are judged each; other columns are not read, so names can't clash. Very long URLs are
-    judged whole. Of equally long host rules (ties) the first in the table wins. An empty table
+    judged whole. Of equally long host rules (ties) the last by name wins, of several patterns the
+    first in the table. An empty table
     gives an empty result.
     """
     index = rule_index(patterns, token_counts(pages, url_col, patterns))
