@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -426,3 +427,24 @@ def test_urls(spark):
 def test_rules_are_filed_under_their_rarest_token():
     index = url_filter.rule_index(("/a/b^", "*cd*", "/a/"), {"a": 9, "b": 2})
     assert index == {"b": [0], "": [1], "a": [2]}
+
+
+def test_ten_thousand_rules_equal_all_rules_on_all_urls(spark):
+    words = [f"{a}{b}" for a in ("ad", "shop", "track", "promo", "img") for b in range(16)]
+    rng = random.Random(7)
+    shapes = ("/{a}/{b}^", "|http://{a}.{b}.", "*{a}{b}*", "^{a}={b}|", "@@/{a}/{b}/", "-{a}.{b}^", "/{a}/*/{b}.")
+    rules = tuple(dict.fromkeys(rng.choice(shapes).format(a=rng.choice(words), b=rng.choice(words)) for _ in range(12_000)))
+    assert len(rules) > 10_000
+    ends = ("http://{a}.{b}.com/{c}", "http://x.com/{a}/{b}/{c}", "http://x.com/{a}/{c}/{b}.html", "http://Y.org/?q=1&{a}={b}",
+            "http://z-{a}.{b}/", "http://x.com/{a}{b}{c}")
+    urls = [rng.choice(ends).format(a=rng.choice(words).upper(), b=rng.choice(words), c=rng.choice(words)) for _ in range(400)]
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), patterns=rules, host_rules=())
+    out = {r["page_id"]: (r["verdict"], r["pattern"]) for r in out.collect()}
+    every = [(p, re.compile(url_filter.pattern_regex(p))) for p in rules]
+    seen = set()
+    for i, u in enumerate(urls):
+        hits = [p for p, r in every if r.search(u.lower())]
+        first = next((p for p in hits if p.startswith("@@")), hits[0] if hits else None)
+        assert out[i] == ("block" if first and not first.startswith("@@") else "allow", first), u
+        seen.add(first and first.startswith("@@"))
+    assert seen == {None, False, True}

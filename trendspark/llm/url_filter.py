@@ -10,14 +10,16 @@ Each rule is filed under the one of them that the fewest URLs hold, counted over
 all URLs; the tokens of a URL fetch the candidate rules, and only those run
 their regular expression. A rule without such a token is a candidate for all.
 
-Rules are a parameter, not data: their index travels with the tasks.
+Rules are a parameter, not data: their index travels with the tasks. A task compiles
+a rule when the rule is first fetched, so tables of many thousands of rules are fine.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,8 +73,8 @@ def token_counts(urls: DataFrame, url_col: str, rules: tuple[str, ...]) -> dict[
     if not wanted:
         return {}
     tokens = F.array_distinct(F.split(F.lower(F.coalesce(F.col(url_col), F.lit(""))), "[^a-z0-9]+"))
-    rows = (urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("t"))
-            .groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per wanted token
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string"))  # a few per rule
+    rows = urls.select(F.explode(tokens).alias("t")).join(wanted, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
     return {r["t"]: r["n"] for r in rows}
 
 
@@ -120,7 +122,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         return max(fits, key=lambda r: (len(r.name), r.name), default=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regex = [re.compile(pattern_regex(p), re.DOTALL) for p in patterns]
+        @cache
+        def search(i: int) -> Callable:
+            return re.compile(pattern_regex(patterns[i]), re.DOTALL).search
+
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
@@ -131,7 +136,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 else:
                     low = (url or "").lower()
                     ids = sorted({i for t in {"", *_TOKEN.findall(low)} for i in index.get(t, ())})
-                    hits = [patterns[i] for i in ids if regex[i].search(low)]
+                    hits = [patterns[i] for i in ids if search(i)(low)]
                     pattern = next((p for p in hits if p.startswith("@@")), hits[0] if hits else None)
                     verdict = "block" if pattern and not pattern.startswith("@@") else "allow"
                 rows.append((host, path, rule.name if rule else None, verdict, pattern))
