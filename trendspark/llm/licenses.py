@@ -12,7 +12,7 @@ beside that, exactly.
 
 The template table is a parameter of a few hundred k-grams and is broadcast;
 only hits and the words of texts with a span to verify are shuffled. The latter
-are found by a bitmap of hashed texts, 8 MB at any size of the corpus. Rows with
+are found by a bitmap of hashed texts, sized by their number. Rows with
 equal identifier and text share their hits, which are counted once.
 """
 
@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import text_or_empty
+from trendspark.llm.common import likely_in, text_or_empty
 from trendspark.session import cut_lineage
 
 K = 3
-BITMAP = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -221,14 +220,8 @@ def template_words(spark, templates) -> DataFrame:
 def verified(spans: DataFrame, text: DataFrame, table: DataFrame, k: int, gap: int, coverage: float) -> DataFrame:
     """The ``spans`` whose words pass; ``text`` has ``id``, ``key`` and ``body``. At either end
     up to ``gap`` words are looked at beyond a span, where its template goes on."""
-    place = F.pmod(F.col("key"), F.lit(BITMAP))
-    bits = spans.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))  # at most 2,049 rows of 4 KB
-    own = (text.withColumn("bit", F.bitmap_bit_position(place))
-           .join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"))
-           .where(F.expr("shiftright({}, cast(bit % 8 as int)) & 1 = 1".format(
-               "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")))
-           .select(F.col("id").alias("d_id"), F.col("key").alias("d_key"), words_of(F.col("body")).alias("words")))
+    own = likely_in(text, spans.select("key"), "key").select(
+        F.col("id").alias("d_id"), F.col("key").alias("d_key"), words_of(F.col("body")).alias("words"))
     # The words are made below the join, once a text; each span takes its slice of them.
     by_text = spans.groupBy("id", "key").agg(F.collect_list(F.struct(
         "label", "template", "found", "covered", "first_word", "last_word",

@@ -22,8 +22,8 @@ signature and those that may reach the threshold are verified on their texts.
    verified there, until they are linked: a large group is one component by now
    and its members never meet each other.
 
-Texts to verify are fetched by a join; a bitmap of 2^26 hashed names, 8 MB at any
-size, keeps most other texts out of its shuffle.
+Texts to verify are fetched by a join; a bitmap of their hashed texts, sized by
+their number up to 64 MB, keeps most other texts out of its shuffle.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import text_or_empty
+from trendspark.llm.common import likely_in, text_or_empty
 from trendspark.operators.components import components
 from trendspark.session import cut_lineage
 
@@ -51,7 +51,6 @@ ESTIMATE = 0.65
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 LINK = "a long, b long, similarity double"
 HOT_KEYS = 1000
-BITMAP = 1 << 26
 CACHED_WORDS = 250_000
 BATCH_WORDS = 250_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -381,16 +380,9 @@ def links_in_cells(rows: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: st
 def texts_of(nodes: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) for the distinct ``nodes``; ``sigs`` has the identifier and text key of a row of each."""
     need = cut_lineage(sigs.select("node", "id", "text_key").join(nodes, "node"), "needed-texts")
-    place = F.pmod(F.col("text_key"), F.lit(BITMAP))
-    bits = need.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))  # at most 2,049 rows of 4 KB
     text = text_or_empty(F.col(text_col))
-    own = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    own = (own.withColumn("bit", F.bitmap_bit_position(place))
-           .join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("part"))
-           .where(F.expr("shiftright({}, cast(bit % 8 as int)) & 1 = 1".format(
-               "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")))
-           .select("d_id", F.col("text_key").alias("d_key"), "text"))
+    own = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("d_key"), text.alias("text"))
+    own = likely_in(own, need.select(F.col("text_key").alias("d_key")), "d_key")
     found = own.join(need, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_key") == F.col("text_key")))
     return cut_lineage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
 
