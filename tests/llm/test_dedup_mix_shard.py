@@ -170,13 +170,3 @@ def test_shards_equal_a_plain_descent(spark):
     for tree in trees:
         got = {r["doc_id"]: r["shard"] for r in df.select("doc_id", sharding.place(F.col("doc_id"), tree).alias("shard")).collect()}
         assert got == {k: shard(k, tree) for k in keys}
-
-
-def test_bitmaps_lose_no_key_and_let_few_others_through(spark):
-    from trendspark.llm.common import MOST_BITS, bitmap_bits, likely_in
-    assert bitmap_bits(0) == 1 << 15 and bitmap_bits(3000) == 1 << 16 and bitmap_bits(10 ** 12) == MOST_BITS
-    rows = spark.range(200_000).select("id", F.xxhash64("id").alias("key"))
-    for n in (0, 1, 5_000):
-        keys = rows.where(F.col("id") < n).select("key")
-        got = {r["id"] for r in likely_in(rows, keys.union(keys), "key").collect()}
-        assert got >= set(range(n)) and len(got) <= n + 200_000 / 16

@@ -25,26 +25,3 @@ def text_or_empty(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0) without leaving generated code."""
     return F.size(F.array_remove(F.split(text_or_empty(text), r"[\x20\x09-\x0D]+"), "")).cast("long")
-
-
-MOST_BITS = 1 << 29  # 64 MB
-
-
-def bitmap_bits(keys: int) -> int:
-    """Bits of a bitmap for so many hashed keys: at least 16 a key, MOST_BITS at most."""
-    return min(1 << max(15, (16 * keys - 1).bit_length()), MOST_BITS)
-
-
-def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose hashed ``key`` (long) is one of ``keys``, a written table, and one in 16 of the
-    others at most, where they lie: a broadcast bitmap, sized by the number of keys up to 64 MB. From some
-    10^8 keys on it lets ever more rows through; an exact join must follow in any case."""
-    place = F.pmod(F.col(key), F.lit(bitmap_bits(keys.count())))
-    spots = keys.select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit"))
-    # A row of 4 KB for 2^15 bits, made in one task: keys are shuffled, not each task's own bitmap.
-    bits = spots.repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    return (rows.withColumn("_bit", F.bitmap_bit_position(place))
-            .join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_part"))
-            .where(F.expr("shiftright({}, cast(_bit % 8 as int)) & 1 = 1".format(
-                "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")))
-            .select(*rows.columns))
