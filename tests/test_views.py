@@ -99,3 +99,23 @@ def test_registered_queries_run_the_model_branch(spark):
     assert {"timeline_verify_model", "layered_verdict_model"} <= set(QUERIES)
     given = QUERIES["timeline_verify_given"](spark, SF_SMALL).collect()
     assert "LIKELY_REAL" in {r["verification_status"] for r in given}
+
+
+def test_topic_model_moves_lists_and_seed_words_only(spark, monkeypatch):
+    from trendspark.operators import topics as TP
+    from trendspark.plans import q_topics
+    docs = spark.createDataFrame([(1, "apple pear apple"), (1, "apple pear apple"), (2, "plum apple"), (3, None)], "doc_id long, text string")
+    assign = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, -1)], "doc_id long, topic int")
+    lists = TP.doc_term_lists(docs)
+    want = TP.class_term_counts(TP.doc_terms_12(docs), assign)
+    got = TP.class_list_counts(lists, assign)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    words = spark.createDataFrame([(0, 1, "pear", 2.0), (1, 1, "plum", 1.0)], "topic int, rank int, term string, score double")
+    model = {"words": words, "terms": TP.listed_terms(lists), "td": docs}
+    monkeypatch.setattr(q_topics, "pipeline", lambda *a: model)
+    out = q_topics.seeded_assignment(spark, "")
+    assert {(r["doc_id"], r["seed_topic"], r["seed_score"]) for r in out.collect()} == {(1, 0, 2.0), (2, 1, 1.0), (3, -1, 0.0)}
+    # seed words are picked before the rows are told apart
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    at = {name: min(i for i, line in enumerate(plan.splitlines()) if name in line) for name in ("Aggregate [doc_id", "LeftSemi")}
+    assert plan.count("LeftSemi") == 1 and at["Aggregate [doc_id"] < at["LeftSemi"]
