@@ -12,3 +12,15 @@ def test_cleaning_is_vectorised_and_equals_the_regular_expressions(spark):
         plain = F.trim(F.regexp_replace(F.regexp_replace(T.as_text("text"), f"[^{kept}{T.WS}]", ""), f"[{T.WS}]+", " "))
         assert d.where(~plain.eqNullSafe(clean("text"))).count() == 0
         assert "regexp" not in d.select(clean("text"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_vocabulary_makes_its_set_once(spark, tmp_path):
+    from trendspark.plans.registry import QUERIES, load_all
+    load_all()
+    spark.createDataFrame([(1, "b a b a"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["query_vocabulary"](spark, str(tmp_path))
+    got = {r["doc_id"]: (r["n_bigrams"], r["vocab_size"], r["vocab"]) for r in out.where("doc_id > 0").collect()}
+    assert got == {1: (3, 4, "a|a b|b|b a"), 2: (0, 0, ""), 3: (0, 1, "none")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # one of the documents, one of the edge rows
+    assert plan.count("array_union(") == 2 and "array_sort(" not in plan

@@ -70,10 +70,12 @@ FROM v""")
 def query_vocabulary(spark, sf_dir):
     """T6 + T7 + U2: tokens united with adjacent bigrams, as a sorted set."""
     d = docs_with_edges(spark, sf_dir).select("doc_id", T.tokens(T.clean_alnum("text")).alias("t"))
-    vocab = T.query_vocab("t")
-    return d.select("doc_id", F.size(T.bigrams("t")).cast("int").alias("n_bigrams"),
-                    F.size(vocab).cast("int").alias("vocab_size"),
-                    F.array_join(F.array_sort(vocab), "|").alias("vocab"))
+    # pairs and set are made once; sort_array compares strings itself, array_sort calls a lambda for each comparison
+    d = d.select("doc_id", T.once("t", lambda t: T.once(T.bigrams(t), lambda b: F.struct(
+        F.size(b).alias("n"), F.sort_array(F.array_union(F.array_distinct(t), b)).alias("vocab")))).alias("v"))
+    return d.select("doc_id", F.col("v.n").cast("int").alias("n_bigrams"),
+                    F.size("v.vocab").cast("int").alias("vocab_size"),
+                    F.array_join("v.vocab", "|").alias("vocab"))
 
 
 _STOPS_SQL = sql_list(all_stops())
