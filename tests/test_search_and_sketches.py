@@ -66,6 +66,28 @@ def test_text_search_forms_few_pairs_where_documents_have_topics(spark):
     assert sharing > 0.9 * 12 * 600 and opened < 0.1 * sharing
 
 
+def test_text_search_hands_on_k_rows_a_block_and_query(spark, monkeypatch):
+    """Words that all documents share, so that nearly every pair is one: blocks of few documents and queries, scored
+    few documents at a time, give what plain scoring gives, and no pair of a document and a query becomes a row."""
+    for name, few in (("POSTINGS", 400), ("QUERIES", 5), ("PRODUCTS", 300)):
+        monkeypatch.setattr(textindex, name, few)
+    rng = random.Random(4)
+    docs = [unit({f"w{rng.randrange(12)}": rng.randrange(1, 9) for _ in range(10)}) for _ in range(400)] + [unit({"w1": 1})] * 30
+    queries = [unit({f"w{rng.randrange(14)}": 1 for _ in range(6)}) for _ in range(17)]
+    rows = spark.createDataFrame([(i, t, u) for i, d in enumerate(docs) for t, u in d.items()] + [(None, "w1", 1.0)], "doc_id long, term string, u double")
+    asked = spark.createDataFrame([(q, t, u) for q, d in enumerate(queries) for t, u in d.items()], "query_id long, term string, qu double")
+    index = textindex.build_text_index(rows)
+    assert index.blocks.count() > 5
+    found = textindex.text_search(index, asked, 3)
+    assert "candidates" not in vars(index) and "postings" not in vars(index) and "CartesianProduct" in found._jdf.queryExecution().toString()
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 8)) for r in found.collect()}
+    want = {}
+    for q, own in enumerate(queries):
+        scores = sorted(((-round(sum(u * d.get(t, 0) for t, u in own.items()), 9), i) for i, d in enumerate(docs)))
+        want |= {(q, r + 1): (i, round(-s, 8)) for r, (s, i) in enumerate(s for s in scores[:3] if s[0])}
+    assert got == want
+
+
 # ---------------------------------------------------------------- interval join
 
 @pytest.mark.parametrize("bins", [1, 30, 5000])
